@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontaminate, records, simhash
+from .common import shared_path
+
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +21,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_simhash": op3_simhash}
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "records")
+    manifest = records.write_records(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", folder, end_id=2)
+    return records.read_records(manifest, folder)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"),
+    )
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op4_token_records": op4_token_records, "op5_decontaminate": op5_decontaminate}
 ORACLES: dict[str, str] = {}
