@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, records, simhash
-from .common import shared_path
+from . import decontaminate, langid, quality, records, simhash, substring, urls
+from .common import crc_mod, shared_path
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(crc_mod("doc_id", 4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,5 +42,39 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_token_records": op4_token_records, "op5_decontaminate": op5_decontaminate}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return clean.select(
+        "doc_id", F.col("n_units").alias("n_sentences"), "n_removed", (F.col("n_removed") > 0).alias("changed"),
+        F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("clean_sha256"),
+    )
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame):
+    """Learned from the labelled rows of ``docs`` that are not held out."""
+    labels = labels.where(crc_mod("doc_id", 5) != 0).select("doc_id", "quality")
+    return quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+#: Verdict, host and path of the contract's rules.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document of its number: of low quality or toxic."""
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    return urls.judge(pages, urls.mine(labelled), URL_RULES)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_language_id, op3_simhash, op4_token_records, op5_decontaminate, op6_substring_dedup, op8_quality, op10_url_filter)
+}
 ORACLES: dict[str, str] = {}
