@@ -11,6 +11,7 @@ read in any order.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -30,10 +31,13 @@ HEAD, BODY, INDEX = struct.Struct("<QI"), struct.Struct("<qBI"), struct.Struct("
 MASK_DELTA = 0xA282EAD8
 #: Documents of a shard, about; and most shards (boundaries are held by the driver).
 SHARD_DOCS, SHARDS = 16_384, 4096
-MEMO = 600_000
+#: Pieces whose ids an executor's Python process remembers at most, about.
+MEMO = 700_000
 
-#: What the plain splitter below does not handle; such texts are encoded whole.
-_ODD = re.compile(r"\s\s|[^\S \n]|\x00|^\s|\s$")
+#: White space of more than one byte, beside what is tested first.
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_NARROW_SPACE = ("  ", "\n\n", " \n", "\n ", "\0", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_MARKS = ".,;:!?$#%&*"
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -42,12 +46,49 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
+def plain(text: str) -> bool:
+    """Whether all white space is single spaces and single newlines between other characters."""
+    if any(x in text for x in _NARROW_SPACE) or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return text.isascii() or not _WIDE_SPACE.search(text)
+
+
+class _Pieces(dict):
+    """Piece -> ids as little-endian bytes, worked out by the library when first met."""
+
+    def __init__(self, tokenizer, code: str) -> None:
+        super().__init__()
+        self.tokenizer, self.code = tokenizer, code
+        self.words: dict[str, bytes] = {}
+        # byte-level BPE writes each byte as a printable character: itself, or one from U+0100 on
+        self.letters = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+        self.letters |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self.letters)}
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            ids = self.words[word] = array(self.code, [t.id for t in tokens]).tobytes()
+        return ids
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.rstrip(_MARKS)
+        if (word[1:] if word[:1] == " " else word).isalpha():  # the pre-tokenizer cuts letters from marks
+            ids = self._word(word) + (self._word(piece[len(word) :]) if len(word) < len(piece) else b"")
+        else:
+            ids = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, as little-endian bytes.
 
     Byte-level BPE never joins across a white-space character between two
     others, so a text is cut before each single space and around each single
-    newline, and the library encodes every different piece once.
+    newline.  The library encodes every different piece once; one of letters
+    and end marks goes straight to its BPE model.  Any other tokenizer than
+    byte-level BPE, and texts with other white space, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,26 +96,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.memo: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.tokenizer, self.code)
+        kind = json.loads(self.tokenizer.to_str())
+        self.cuts = kind["model"]["type"] == "BPE" and (kind["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not kind["pre_tokenizer"].get("add_prefix_space") and not kind["normalizer"]
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = [None if not t or _ODD.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                new.update(pieces)
-        fresh = [p for p in new if p not in self.memo]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[p] = self.pack(e.ids)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, p)) if p else self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if t else b"" for t, p in zip(texts, cut, strict=True)]
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+            self.pieces.words.clear()
+        get = self.pieces.__getitem__
+        return [
+            b"" if not t
+            else b"".join(map(get, t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))) if self.cuts and plain(t)
+            else self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids)
+            for t in texts
+        ]
 
 
 def encoder(path: str) -> Encoder:
