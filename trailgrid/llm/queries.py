@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, quality, records, simhash, substring, urls
+from . import decontaminate, langid, lm, quality, records, simhash, substring, urls, wfst
 from .common import crc_mod, shared_path
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -16,6 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score_documents(table(spark, sf_dir, "documents"), order=2, least=2, backoff=0.4)
+    return found.select("doc_id", "n_words", F.round("logprob", 4).alias("logprob"), F.round(F.col("logprob") / F.greatest("n_words", F.lit(1)), 6).alias("per_word"))
+
+
+OP1_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), tokens AS (
+    SELECT doc_id, unnest(w) AS w, unnest(list_concat([NULL], w[:-2])) AS h, len(w) AS n FROM words WHERE len(w) > 0
+), one AS (SELECT w, count(*) AS c FROM tokens GROUP BY w),
+two AS (SELECT h, w, count(*) AS c FROM tokens WHERE h IS NOT NULL GROUP BY h, w),
+total AS (SELECT count(*) AS n FROM tokens),
+scored AS (
+    SELECT t.doc_id, CASE WHEN two.c >= 2 THEN ln(two.c / before.c) ELSE ln(0.4) + ln(one.c / total.n) END AS s
+    FROM tokens t CROSS JOIN total JOIN one ON one.w = t.w LEFT JOIN two ON two.h = t.h AND two.w = t.w LEFT JOIN one AS before ON before.w = t.h
+), sums AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS logprob, round(coalesce(s, 0) / greatest(len(d.w), 1), 6) AS per_word
+FROM words d LEFT JOIN sums ON sums.doc_id = d.doc_id
+"""
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(crc_mod("doc_id", 4) != 2))
@@ -50,6 +73,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", ids=False)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
@@ -75,6 +102,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_language_id, op3_simhash, op4_token_records, op5_decontaminate, op6_substring_dedup, op8_quality, op10_url_filter)
+    for f in (op1_lm_score, op2_language_id, op3_simhash, op4_token_records, op5_decontaminate, op6_substring_dedup, op7_sentencepiece, op8_quality, op10_url_filter)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_lm_score": OP1_SQL}
