@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, quality, records, simhash, substring, urls, wfst
+from . import cws, decontaminate, langid, lm, quality, records, simhash, substring, urls, wfst
 from .common import crc_mod, shared_path
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -89,6 +89,11 @@ def quality_model(docs: DataFrame, labels: DataFrame):
     return quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cws.compare_edited(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", cws.hexadecimal(F.col("fp")).alias("fingerprint"), cws.hexadecimal(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 #: Verdict, host and path of the contract's rules.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -102,6 +107,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_score, op2_language_id, op3_simhash, op4_token_records, op5_decontaminate, op6_substring_dedup, op7_sentencepiece, op8_quality, op10_url_filter)
+    for f in (op1_lm_score, op2_language_id, op3_simhash, op4_token_records, op5_decontaminate, op6_substring_dedup, op7_sentencepiece, op8_quality, op9_fingerprints, op10_url_filter)
 }
 ORACLES: dict[str, str] = {"op1_lm_score": OP1_SQL}
