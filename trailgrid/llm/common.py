@@ -49,12 +49,14 @@ def bounded_sample(df: DataFrame, id_col: str, by: str, most: int) -> DataFrame:
     """About ``most`` rows of each value of ``by``, the same ones at every run.
 
     Keeps the rows whose hashed id falls below the share ``most / count`` of
-    its class; a class of no more than ``most`` rows is kept whole.
+    its class; a class of no more than ``most`` rows is kept whole.  The counts
+    (a row a class) make up a filter, so nothing is shuffled but them.
     """
-    counts = df.groupBy(by).count().withColumnRenamed("count", "_n").withColumnRenamed(by, "_by")
-    share = F.lit(float(most)) / F.col("_n")
     point = (F.xxhash64(F.col(id_col).cast("string"), F.lit(77)) % 1000003 + 1000003) % 1000003 / 1000003.0
-    return df.join(counts, F.col(by).eqNullSafe(F.col("_by"))).where(point < share).drop("_by", "_n")
+    share = F.lit(1.0)
+    for row in df.groupBy(by).count().where(F.col("count") > most).collect():
+        share = F.when(F.col(by).eqNullSafe(F.lit(row[0])), F.lit(most / row[1])).otherwise(share)
+    return df.where(point < share)
 
 
 def crc_mod(id_col: str, modulus: int):

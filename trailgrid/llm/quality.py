@@ -79,14 +79,16 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def fit(labelled: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray, float]:
     """``indices, weights, bias``, trained on about ``most`` rows of each label, in one task of bounded size.
 
-    Rows without a label or an id are left out; without any row the weights
-    are empty and every score is 0.5.
+    Labels join documents by ``id_col``; those without a label, an id or a
+    document are left out.  Without any row the weights are empty and every
+    score is 0.5.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null")
-    sample = bounded_sample(rows, "id", "y", most)
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null")
+    chosen = bounded_sample(rows, "id", "y", most)  # 2 * most rows of two numbers, about: broadcast
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hasher, found = Hasher(), [[], []]
@@ -105,7 +107,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[bias, w[at]].astype(np.float32))], ["i", "w"])
 
     hashed = map_batches(sample.select("id", "text", "y"), features, "id long, y int, i binary, v binary")
-    got = hashed.coalesce(1).mapInArrow(learn, "i int, w float").toArrow()
+    got = hashed.repartition(1).mapInArrow(learn, "i int, w float").toArrow()
     index, w = got.column("i").to_numpy(), got.column("w").to_numpy()
     return index[index >= 0], w[index >= 0], float(w[index < 0].sum())
 

@@ -86,7 +86,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(docs: DataFrame, labels: DataFrame):
     """Learned from the labelled rows of ``docs`` that are not held out."""
     labels = labels.where(crc_mod("doc_id", 5) != 0).select("doc_id", "quality")
-    return quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return quality.fit(docs, labels)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
