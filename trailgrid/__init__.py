@@ -1,0 +1 @@
+"""Analytics of animal-tracking telemetry as Spark DataFrame plans."""
