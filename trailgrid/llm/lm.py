@@ -11,6 +11,7 @@ instead of a row each.
 The score of a word w after the context h is count(h w) / count(h) if the
 n-gram occurs ``least`` times or more in the corpus, else ``BACKOFF`` times the
 score after a context shorter by a word; a single word scores count(w) / N.
+A document's first words have shorter contexts from the start.
 Words are runs of other characters than ASCII white space, A-Z lower-cased;
 n-grams do not cross documents.
 """
@@ -184,7 +185,7 @@ def score_block(payload: bytes, totals: list[bytes], words_in_all: int, order: i
         use = ~done & ((counts[k - 1] >= least) if k > 1 else True)
         score[use] += np.log(counts[k - 1][use] / before[use])
         done |= use
-        score[~done] += np.log(backoff)
+        score[~done & (orders[k - 1] != 0)] += np.log(backoff)
     ends = np.r_[starts[1:], n]
     sums = np.r_[0.0, np.cumsum(score)]
     exact = np.array([score[s:e].sum() for s, e in zip(starts, ends, strict=True)]) if docs else sums[:0]

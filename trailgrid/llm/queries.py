@@ -31,7 +31,7 @@ WITH words AS (
 two AS (SELECT h, w, count(*) AS c FROM tokens WHERE h IS NOT NULL GROUP BY h, w),
 total AS (SELECT count(*) AS n FROM tokens),
 scored AS (
-    SELECT t.doc_id, CASE WHEN two.c >= 2 THEN ln(two.c / before.c) ELSE ln(0.4) + ln(one.c / total.n) END AS s
+    SELECT t.doc_id, CASE WHEN t.h IS NULL THEN ln(one.c / total.n) WHEN two.c >= 2 THEN ln(two.c / before.c) ELSE ln(0.4) + ln(one.c / total.n) END AS s
     FROM tokens t CROSS JOIN total JOIN one ON one.w = t.w LEFT JOIN two ON two.h = t.h AND two.w = t.w LEFT JOIN one AS before ON before.w = t.h
 ), sums AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS logprob, round(coalesce(s, 0) / greatest(len(d.w), 1), 6) AS per_word
