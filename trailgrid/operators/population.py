@@ -85,7 +85,7 @@ def use_volume(layers: DataFrame) -> DataFrame:
 def running_mass(surface: DataFrame, value: str, keys: tuple[str, ...] = (), bands: int = 64) -> DataFrame:
     """``cum``: for each cell the sum of ``value`` over cells of greater value (ties by row and column) and itself."""
     top = surface.groupBy(*keys).agg(F.max(value).alias("_top")) if keys else surface.agg(F.max(value).alias("_top"))
-    banded = surface.join(F.broadcast(top), list(keys)) if keys else surface.crossJoin(F.broadcast(top))
+    banded = surface.join(top, list(keys)) if keys else surface.crossJoin(F.broadcast(top))  # one row
     # bands of like logarithm: an equal value has the same band
     band = F.when(F.col(value) > 0, F.least(F.lit(bands - 1), F.floor(-F.log2(F.col(value) / F.col("_top")) * 2).cast("int"))).otherwise(bands)
     banded = banded.withColumn("_band", band).drop("_top")
