@@ -132,21 +132,21 @@ def smallest_prefix(surface: DataFrame, value: str, percent: float, by: list[str
     return ranked.where(F.col("cum") - F.col(value) < F.col("_t") * percent / 100).select(*by, "row", "col", value)
 
 
-def season_products(individual: DataFrame, by: list[str], min_individuals: tuple[int, ...] = (2, 3), top_pct: tuple[float, ...] = (10, 20), stopover_pct: float = 10, isopleths: tuple[float, ...] = (5, 10, 15, 20, 30, 50, 75, 95)) -> dict[str, DataFrame]:
-    """Named surfaces of each season: count, mean UD, extent, minimumN counts and masks, top use, stopovers.
+def season_products(individual: DataFrame, by: list[str], min_individuals: tuple[int, ...] = (2, 3), top_pct: tuple[float, ...] = (10, 20), stopover_pct: float = 10, isopleths: tuple[float, ...] = (5, 10, 15, 20, 30, 50, 75, 95), only: set[str] | None = None) -> dict[str, DataFrame]:
+    """Named surfaces of each season: count, mean UD, extent, minimumN counts and masks, top use, stopovers; or ``only`` some.
 
     ``isopleths`` is accepted for compatibility: the extent is every used cell.
     """
     s = season_surface(individual, by)
-    out = {"count": s.select(*by, "row", "col", "n"), "mean_ud": s.select(*by, "row", "col", "mean_ud"), "extent": s.select(*by, "row", "col")}
+    cell = [*by, "row", "col"]
+    plans = {"count": lambda: s.select(*cell, "n"), "mean_ud": lambda: s.select(*cell, "mean_ud"), "extent": lambda: s.select(*cell)}
     for k in min_individuals:
-        enough = s.where(F.col("n") >= k)
-        out[f"minimum{k}_count"] = enough.select(*by, "row", "col", "n")
-        out[f"minimum{k}"] = enough.select(*by, "row", "col")
+        plans[f"minimum{k}_count"] = lambda k=k: s.where(F.col("n") >= k).select(*cell, "n")
+        plans[f"minimum{k}"] = lambda k=k: s.where(F.col("n") >= k).select(*cell)
     for p in top_pct:
-        out[f"top{p:g}"] = smallest_prefix(s, "n", p, by)
-    out["stopover"] = smallest_prefix(s, "mean_ud", stopover_pct, by)
-    return out
+        plans[f"top{p:g}"] = lambda p=p: smallest_prefix(s, "n", p, by)
+    plans["stopover"] = lambda: smallest_prefix(s, "mean_ud", stopover_pct, by)
+    return {name: plan() for name, plan in plans.items() if only is None or name in only}
 
 
 def year_summaries(ud: DataFrame, members: DataFrame) -> dict[str, DataFrame]:

@@ -5,17 +5,17 @@ Doubles are rounded alike on both sides.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, temporal, text
+from ..functions import temporal
 from ..operators import contours, detect, enrich, ingest, movement, population, report, sequences, ud
 from . import fixtures
 from .fixtures import BIO_YEAR, SQL, fixes, table
-from .process import measure, process
+from .process import measure
+from .store import stored
 from ..config import ProcessConfig, model_config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,9 +53,15 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
     return sequences.extract_sequences(flagged(spark, d), fixtures.windows(spark, d))
 
 
+_points: dict[tuple[str, str], DataFrame] = {}
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
-    """The sequences' fixes; kept, as every surface starts from them and some several times."""
-    return extracted(spark, d).select(F.col("mig").alias("seq_id"), "animal_id", F.col("label").alias("season"), "bio_year", "timestamp", "x", "y").persist()
+    """The sequences' fixes, stored once a session: every surface starts from them, and some several times."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _points:
+        _points[key] = stored(extracted(spark, d).select(F.col("mig").alias("seq_id"), "animal_id", F.col("label").alias("season"), "bio_year", "timestamp", "x", "y"), "sequences")
+    return _points[key]
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
@@ -503,33 +509,34 @@ def population_footprint(spark, d):
     return population.footprint_share(use_cells(spark, d)).withColumn("value", r("value"))
 
 
-def _seasons(spark, d) -> DataFrame:
-    return population.individual_ud(use_cells(spark, d), members(spark, d), by_season=True)
+def _season(spark, d, name: str, **settings) -> DataFrame:
+    individual = population.individual_ud(use_cells(spark, d), members(spark, d), by_season=True)
+    return population.season_products(individual, ["season"], only={name}, **settings)[name]
 
 
 @query(USE_SQL + """SELECT season, "row", col, CAST(n AS INTEGER) AS n FROM surf""")
 def season_count(spark, d):
-    return population.season_products(_seasons(spark, d), ["season"])["count"]
+    return _season(spark, d, "count")
 
 
 @query(USE_SQL + """SELECT season, "row", col, round(mean_ud, 8) AS mean_ud FROM surf""")
 def season_mean_ud(spark, d):
-    return population.season_products(_seasons(spark, d), ["season"])["mean_ud"].withColumn("mean_ud", r("mean_ud", 8))
+    return _season(spark, d, "mean_ud").withColumn("mean_ud", r("mean_ud", 8))
 
 
 @query(USE_SQL + """SELECT season, "row", col, CAST(n AS INTEGER) AS n FROM surf WHERE n >= 2""")
 def season_minimum_n(spark, d):
-    return population.season_products(_seasons(spark, d), ["season"])["minimum2_count"]
+    return _season(spark, d, "minimum2_count")
 
 
 @query(USE_SQL + """SELECT season, "row", col, CAST(n AS DOUBLE) AS n FROM (SELECT *, sum(n) OVER (PARTITION BY season ORDER BY n DESC, "row", col ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER (PARTITION BY season) AS t FROM surf) WHERE run - n < t * 20 / 100""")
 def season_top_p(spark, d):
-    return population.season_products(_seasons(spark, d), ["season"])["top20"]
+    return _season(spark, d, "top20")
 
 
 @query(USE_SQL + """SELECT season, count(*) AS n_cells FROM (SELECT *, sum(mean_ud) OVER (PARTITION BY season ORDER BY mean_ud DESC, "row", col ROWS UNBOUNDED PRECEDING) AS run, sum(mean_ud) OVER (PARTITION BY season) AS t FROM surf) WHERE run - mean_ud < t * 0.137 GROUP BY 1""")
 def season_stopover(spark, d):
-    s = population.season_products(_seasons(spark, d), ["season"], stopover_pct=13.7)["stopover"]
+    s = _season(spark, d, "stopover", stopover_pct=13.7)
     return s.groupBy("season").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
