@@ -332,3 +332,12 @@ def test_queries_match_sql(spark, tables, name):
     theirs = con.execute(q.ORACLES[name]).df()[list(ours.columns)]
     both = [sorted(map(repr, df.astype(object).where(df.notna(), None).values.tolist())) for df in (ours, theirs)]
     assert both[0] == both[1]
+
+
+def test_one_exchange_serves_the_chain(spark):
+    from trailgrid.plans.process import measure
+
+    rows = fixes(spark, [(0, 0, 0), (1, 5, 5)]).withColumns({"lon": F.lit(-108.0), "lat": F.lit(39.0)})
+    plan = measure(rows)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) <= 2 and all("(animal_id#" in line and "," not in line.split("hashpartitioning(")[1].split(",")[0] for line in exchanges)

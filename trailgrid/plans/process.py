@@ -26,7 +26,7 @@ def measure(fixes: DataFrame, cfg: ProcessConfig = ProcessConfig(), order: str |
     Every window is keyed by the animal and a function of its row, so the
     exchange of the first serves them all.
     """
-    df = ingest.deduplicate(fixes, order)
+    df = ingest.deduplicate(fixes.repartition("animal_id"), order)  # one exchange for all that follows
     df = movement.with_steps(movement.with_burst(df, cfg.tmax_seconds))
     df = ingest.with_keys(df, cfg.bio_year_start)
     for keys, suffix in ((["animal_id", "year"], "id_yr"), (["animal_id"], "animal_id"), (["animal_id", "bio_year"], "id_bio_year")):
