@@ -1,17 +1,19 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into units: sentences (up to and with their end marks or line
-breaks), and sentences of over ``UNIT_WORDS`` words into pieces of as many
-words.  Every run of ``RUN`` consecutive units with ``SPAN_WORDS`` words or
+breaks), and sentences of over ``UNIT_WORDS`` words after words that their own
+hash chooses, one in six, or after twice ``UNIT_WORDS`` words; so a passage
+is cut alike wherever it begins.  Every run of ``RUN`` consecutive units with ``SPAN_WORDS`` words or
 more in all is hashed (lower case, words joined by single spaces) and the
 hashes meet in one global join.  A unit goes if a run that covers it occurs
 in a document of smaller id, or earlier in its own.  Passages of over 50 words
-always hold several whole runs if they begin with a sentence.
+hold whole runs, even if they begin and end inside sentences.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +39,11 @@ def units(text: str | None) -> list[tuple[str, str, int]]:
         if len(words) <= UNIT_WORDS:
             out.append((piece, " ".join(words), len(words)))
         else:
-            parts = _WORD.findall(piece)
-            for i in range(0, len(parts), UNIT_WORDS):
-                part = parts[i : i + UNIT_WORDS]
-                out.append(("".join(part), " ".join(words[i : i + UNIT_WORDS]), len(part)))
+            parts, at = _WORD.findall(piece), 0
+            for i, word in enumerate(words, 1):
+                if i == len(words) or i - at == 2 * UNIT_WORDS or zlib.crc32(word.encode("utf-8", "surrogatepass")) % 6 == 0:
+                    out.append(("".join(parts[at:i]), " ".join(words[at:i]), i - at))
+                    at = i
     return out
 
 
