@@ -11,12 +11,16 @@ weights over the sum of the greater ones.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 SAMPLES = 32
+#: Samples that one row works out; more make a method too long for the JVM's compiler.
+CHUNK = 4
 #: Documents of a run of neighbouring ids, about, and most runs (their bounds are held by the driver).
 RUN_DOCS, RUNS = 500, 4096
 _BREAK = "[^a-z0-9\\x80-\\x{10FFFF}]+"
@@ -28,20 +32,25 @@ def words(text: Column) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
 
 
-def _draw(k: int) -> dict[str, str]:
-    """SQL of the k-th sample's draws for the word hash ``term``."""
-    bits, unit = 21, 1 << 21
+def _draw(k: int) -> list[dict[str, str]]:
+    """SQL of the draws of a chunk's k-th sample for the salted word hash ``word``, in four layers.
+
+    G from Gamma(4, 1) and an independent B from Beta(2, 2), the median of
+    three uniforms, give r = G B and c = G (1 - B), which are independent and
+    each from Gamma(2, 1), with one logarithm less than two draws.
+    """
 
     def part(h: str, at: int) -> str:
-        return f"((shiftrightunsigned({h}, {at}) & {unit - 1}) + 0.5D) / {unit}D"
+        return f"((shiftrightunsigned({h}, {at}) & 65535) + 0.5D) * {2.0**-16}D"
 
-    return {
-        f"h{k}": f"xxhash64(term, {k})",
-        f"g{k}": f"xxhash64(term, {k}, 1)",
-        f"r{k}": f"-ln({part(f'h{k}', 0)} * {part(f'h{k}', bits)})",
-        f"c{k}": f"ln(-ln({part(f'h{k}', 2 * bits)} * {part(f'g{k}', 0)}))",
-        f"b{k}": part(f"g{k}", bits),
-    }
+    salt = random.Random(k).getrandbits(63)
+    u, v, w = (f"({part(f'g{k}', 16 * i)})" for i in range(3))
+    return [
+        {f"h{k}": f"xxhash64(word ^ {salt}L)"},
+        {f"g{k}": f"xxhash64(h{k})"},
+        {f"s{k}": f"-ln({' * '.join(part(f'h{k}', 16 * i) for i in range(4))})", f"m{k}": f"greatest(least({u}, {v}), least(greatest({u}, {v}), {w}))", f"b{k}": part(f"g{k}", 48)},
+        {f"r{k}": f"s{k} * m{k}", f"c{k}": f"ln(s{k} * (1D - m{k}))"},
+    ]
 
 
 def _sample(k: int, weight: str) -> str:
@@ -56,19 +65,23 @@ def signatures(terms: DataFrame, keys: list[str], weights: list[str], samples: i
     """For every ``keys`` an array of 32-bit samples for each weight column (named as it, with ``_fp``).
 
     ``terms``: keys, ``term`` (a long) and the weights, which are 0 where a
-    set lacks the term.  Words of one hash count as one.
+    set lacks the term.  Words of one hash count as one.  ``samples`` is a
+    multiple of ``CHUNK``.
     """
-    draws: dict[str, str] = {}
-    layers: list[dict[str, str]] = [{}, {}]
-    for k in range(samples):
-        draws = _draw(k)
-        layers[0] |= {n: draws[n] for n in (f"h{k}", f"g{k}")}
-        layers[1] |= {n: draws[n] for n in (f"r{k}", f"c{k}", f"b{k}")}
+    chunks = samples // CHUNK
     logs = terms.select(*keys, "term", *[F.when(F.col(w) > 0, F.ln(F.col(w).cast("double"))).alias(w) for w in weights])
-    drawn = logs.select("*", *[F.expr(e).alias(n) for n, e in layers[0].items()])
-    drawn = drawn.select(*keys, *weights, *[f"h{k}" for k in range(samples)], *[F.expr(e).alias(n) for n, e in layers[1].items()])
-    least = drawn.groupBy(*keys).agg(*[F.expr(_sample(k, w)).alias(f"{w}{k}") for w in weights for k in range(samples)])
-    return least.select(*keys, *[F.array(*[F.col(f"{w}{k}").bitwiseAND(F.lit(4294967295)) for k in range(samples)]).alias(f"{w}_fp") for w in weights])
+    rows = logs.select(*keys, "term", *weights, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    keys_and = [*keys, "chunk"]
+    drawn = rows.select(*keys_and, *weights, F.xxhash64("term", "chunk").alias("word"))
+    layers = [{n: e for k in range(CHUNK) for n, e in _draw(k)[i].items()} for i in range(4)]
+    for new, kept in zip(layers, ([], ["h"], ["h"], ["h", "b"]), strict=True):
+        old = [F.col(f"{n}{k}") for n in kept for k in range(CHUNK)]
+        first = ["word"] if new is layers[0] else []
+        drawn = drawn.select(*keys_and, *weights, *first, *old, *[F.expr(e).alias(n) for n, e in new.items()])
+    least = drawn.groupBy(*keys_and).agg(*[F.expr(_sample(k, w)).alias(f"{w}{k}") for w in weights for k in range(CHUNK)])
+    packed = least.select(*keys, F.struct("chunk", *[F.transform(F.array(*[f"{w}{k}" for k in range(CHUNK)]), lambda x: x.bitwiseAND(F.lit(4294967295))).alias(w) for w in weights]).alias("c"))
+    lists = packed.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("c"))  # one entry a chunk
+    return lists.select(*keys, *[F.flatten(F.col("c").getField(w)).alias(f"{w}_fp") for w in weights])
 
 
 def likeness(a: Column, b: Column) -> Column:
