@@ -31,7 +31,8 @@ def with_burst(df: DataFrame, tmax_seconds: float = 176400) -> DataFrame:
     animals = own.groupBy("animal_id").agg(F.max("_b").alias("_k"))
     before = F.coalesce(F.sum("_k").over(Window.orderBy("animal_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = animals.select(F.col("animal_id").alias("_a"), before.alias("_before"))
-    return own.join(offsets, F.col("animal_id").eqNullSafe(F.col("_a"))).withColumn("burst_id", (F.col("_b") + F.col("_before")).cast("long")).drop("_a", "_b", "_before")
+    # rows without an animal come first in order: their offset is 0
+    return own.join(offsets, F.col("animal_id") == F.col("_a"), "left").withColumn("burst_id", (F.col("_b") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_a", "_b", "_before")
 
 
 def with_steps(df: DataFrame) -> DataFrame:
