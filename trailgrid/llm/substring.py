@@ -2,8 +2,8 @@
 
 A text is cut into units: sentences (up to and with their end marks or line
 breaks), and sentences of over ``UNIT_WORDS`` words after words that their own
-hash chooses, one in six, or after twice ``UNIT_WORDS`` words; so a passage
-is cut alike wherever it begins.  Every run of ``RUN`` consecutive units with ``SPAN_WORDS`` words or
+hash chooses, one in four, with four words in a piece or more and twice
+``UNIT_WORDS`` at most; so a passage is cut alike wherever it begins.  Every run of ``RUN`` consecutive units with ``SPAN_WORDS`` words or
 more in all is hashed (lower case, words joined by single spaces) and the
 hashes meet in one global join.  A unit goes if a run that covers it occurs
 in a document of smaller id, or earlier in its own.  Passages of over 50 words
@@ -41,7 +41,7 @@ def units(text: str | None) -> list[tuple[str, str, int]]:
         else:
             parts, at = _WORD.findall(piece), 0
             for i, word in enumerate(words, 1):
-                if i == len(words) or i - at == 2 * UNIT_WORDS or zlib.crc32(word.encode("utf-8", "surrogatepass")) % 6 == 0:
+                if i == len(words) or i - at == 2 * UNIT_WORDS or i - at >= 4 and zlib.crc32(word.encode("utf-8", "surrogatepass")) % 4 == 0:
                     out.append(("".join(parts[at:i]), " ".join(words[at:i]), i - at))
                     at = i
     return out
