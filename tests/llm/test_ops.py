@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -173,6 +174,25 @@ def test_nearest_before_equals_search():
     assert {frozenset(p) for p in zip(u.tolist(), v.tolist(), strict=True)} == {frozenset((i, i + 350)) for i in range(350)}
 
 
+@pytest.mark.parametrize("n", [5, 60])
+def test_wide_links_join_a_star(n):
+    """Copies that come before their base, like it but not like one another: all are linked to it, not the nearest alone."""
+    rng = np.random.default_rng(5)
+    ones = np.ones((n + 1, 64 * simhash_wide.PART), np.uint8)
+    for row in ones[:n]:
+        row[rng.choice(ones.shape[1], 40, replace=False)] = 0
+    fps = np.packbits(ones, axis=1).view("<u8")
+    apart = np.bitwise_count(fps[:n, None] ^ fps[None, :n]).sum(2)[np.triu_indices(n, 1)]
+    assert apart.min() > 45
+    batch = pa.RecordBatch.from_arrays([*[pa.array([0] * (n + 1), pa.int64())] * 3, pa.array(range(n + 1)), pa.array([f.tobytes() for f in fps], pa.binary())], ["k", "i", "j", "id", "fp"])
+    links = [(u, v) for b in simhash_wide._compare(iter([batch]), 45) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    reached, size = {n}, 0
+    while len(reached) > size:
+        size = len(reached)
+        reached |= {x for link in links if reached & set(link) for x in link}
+    assert reached == set(range(n + 1)) and len(links) == n
+
+
 # --- 4
 
 
