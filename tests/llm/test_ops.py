@@ -311,6 +311,27 @@ def test_repeats_against_a_search(spark, corpus):
         assert got[i] == len(gone)
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_passages_of_short_sentences_go(spark, most):
+    rng = np.random.default_rng(most)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    sentence = lambda: " ".join(word() for _ in range(rng.integers(1, most + 1))) + rng.choice([". ", "\n", "! "])
+    passage = ""
+    while len(passage.split()) < 60:
+        passage += sentence()
+    own = ["Words that stand in one document alone, the first. ", "Others are in the second document and nowhere else. "]
+    got = {r["doc_id"]: r["text"] for r in substring.remove_repeats(docs(spark, [own[0] + passage, own[1] + passage, passage + own[1]])).collect()}
+    assert got[0] == own[0] + passage and [got[1].split(), got[2].split()] == [own[1].split()] * 2
+    for _ in range(200):  # against a search: the least runs from each piece on and up to each piece
+        sizes = rng.integers(1, most + 5, rng.integers(0, 30)).tolist()
+        fits = {(a, b) for b in range(len(sizes) + 1) for a in range(b - substring.RUN + 1) if sum(sizes[a:b]) >= substring.SPAN_WORDS}
+        least = {(a, b) for a, b in fits if (a, b - 1) not in fits or (a + 1, b) not in fits}
+        found = [(s[0], s[-1] + 1) for _, s in substring.runs([("", f"{i}", n) for i, n in enumerate(sizes)])]
+        assert len(found) == len(set(found)) and set(found) == least
+    lone = [(r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(docs(spark, ["a. b. c. d.", "a. b. c. d."])).collect()]
+    assert sorted(lone) == [(0, 0), (1, 0)]
+
+
 # --- 7
 
 

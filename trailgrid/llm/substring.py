@@ -3,9 +3,9 @@
 A text is cut into units: sentences (up to and with their end marks or line
 breaks), and sentences of over ``UNIT_WORDS`` words after words that their own
 hash chooses, one in four, with four words in a piece or more and twice
-``UNIT_WORDS`` at most; so a passage is cut alike wherever it begins.  Every run of ``RUN`` consecutive units with ``SPAN_WORDS`` words or
-more in all is hashed (lower case, words joined by single spaces) and the
-hashes meet in one global join.  A unit goes if a run that covers it occurs
+``UNIT_WORDS`` at most; so a passage is cut alike wherever it begins.  Every run of ``RUN`` consecutive units, or of
+as many more as have ``SPAN_WORDS`` words in all, is hashed (lower case, words
+joined by single spaces) and the hashes meet in one global join.  A unit goes if a run that covers it occurs
 in a document of smaller id, or earlier in its own.  Passages of over 50 words
 hold whole runs, even if they begin and end inside sentences.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +49,30 @@ def units(text: str | None) -> list[tuple[str, str, int]]:
 
 
 def runs(pieces: list[tuple[str, str, int]]) -> list[tuple[int, list[int]]]:
-    """Signed hash and the pieces' positions of every run; pieces without words are passed over."""
+    """Signed hash and the pieces' positions of every run; pieces without words are passed over.
+
+    A run has ``RUN`` pieces, or as many more as make up ``SPAN_WORDS`` words:
+    the fewest from its first piece on, or the fewest up to its last one, so
+    that runs inside a passage reach from its first piece to its last.
+    """
     at = [i for i, (_, _, n) in enumerate(pieces) if n]
+    total = [0, *accumulate(pieces[i][2] for i in at)]
+    spans = []
+    first, seen = 0, 0  # the run up to ``last`` begins at ``first``; runs from the pieces before ``seen`` on are in
+    for last in range(RUN, len(at) + 1):
+        while seen <= last - RUN and total[last] - total[seen] >= SPAN_WORDS:
+            spans.append((seen, last))
+            seen += 1
+        if seen:
+            while first < last - RUN and total[last] - total[first + 1] >= SPAN_WORDS:
+                first += 1
+            if spans[-1] != (first, last):
+                spans.append((first, last))
     out = []
-    for k in range(len(at) - RUN + 1):
-        span = at[k : k + RUN]
-        if sum(pieces[i][2] for i in span) >= SPAN_WORDS:
-            h = xxhash.xxh3_64_intdigest("\n".join(pieces[i][1] for i in span).encode("utf-8", "surrogatepass"))
-            out.append((h - (1 << 64) if h >> 63 else h, span))
+    for k, end in spans:
+        span = at[k:end]
+        h = xxhash.xxh3_64_intdigest("\n".join(pieces[i][1] for i in span).encode("utf-8", "surrogatepass"))
+        out.append((h - (1 << 64) if h >> 63 else h, span))
     return out
 
 
