@@ -193,6 +193,26 @@ def test_wide_links_join_a_star(n):
     assert reached == set(range(n + 1)) and len(links) == n
 
 
+def test_wide_links_have_the_asked_similarity(spark):
+    """Pairs somewhat below 0.8, of like fingerprints, stay apart; pairs at 0.8 and above are found."""
+    base = [[f"t{p}w{i}" for i in range(236)] for p in range(80)]  # 232 shingles, and k edits far apart change 5 k of them
+    edited = [[f"e{i}" if i % 18 == 9 and i // 18 < (6 if p < 40 else 5) else w for i, w in enumerate(b)] for p, b in enumerate(base)]
+    sets = [simhash_wide.shingle_set(" ".join(x).encode()) for x in base + edited]
+    jaccard = [len(np.intersect1d(sets[p], sets[p + 80])) / len(np.union1d(sets[p], sets[p + 80])) for p in range(80)]
+    assert max(jaccard[:40]) < 0.78 and min(jaccard[40:]) > 0.8
+    got = {r["doc_id"]: r["component_id"] for r in simhash_wide.near_copies(docs(spark, [" ".join(x) for x in base + edited])).collect()}
+    assert all(got[p + 80] == p + 80 for p in range(40)) and sum(got[p + 80] == p for p in range(40, 80)) >= 38
+    labels = simhash_wide.similar([np.arange(a, b, dtype=np.uint64) for a, b in ((0, 10), (2, 10), (0, 8), (3, 10), (50, 60))], 0.8)
+    assert labels[0] == labels[1] == labels[2] == labels[3] != labels[4]
+
+
+def test_wide_links_of_a_repeated_line(spark):
+    """Texts whose shingles are mostly one line, over and over, and which share nothing else, stay apart."""
+    line = "one line that stands on every page of the site "
+    texts = [line * 60 + " ".join(f"d{d}w{i}" for i in range(60)) for d in range(3)]
+    assert [r["component_id"] for r in simhash_wide.near_copies(docs(spark, texts)).orderBy("doc_id").collect()] == [0, 1, 2]
+
+
 # --- 4
 
 
