@@ -483,3 +483,13 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark):
     rows = [(3, t, "en", "s", 1), (1, t, "en", "s", 1), (1, t, "en", "s", 1), (7, "other words here", None, None, None), (None, t, None, None, None), (9, None, None, None, None)]
     out = c.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 7, 9]
+
+
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as c
+
+    a, b, other = (" ".join(f"{k}{i}" for i in range(60)) for k in "abo")
+    rows = [(1, a), (2, a + " end"), (2, other), (5, b), (5, b), (5, None), (5, b + " end"), (4, "short text")]
+    rows = [(i, t, "en", "s", 1) for i, t in rows]
+    out = c.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted((r["doc_id"], r["text"] or "") for r in out.collect()) == [(1, a), (2, other), (4, "short text"), (5, ""), (5, b)]
