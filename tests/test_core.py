@@ -342,3 +342,11 @@ def test_one_exchange_serves_the_chain(spark):
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     # the fixes' own exchange, the one of the branch that counts bursts, and those of one row an animal
     assert sum("REPARTITION_BY_COL" in line for line in exchanges) <= 2 and all("hashpartitioning(animal_id#" in line or "hashpartitioning(_a#" in line for line in exchanges)
+
+
+def test_id_map_takes_every_serial(spark, tmp_path):
+    from trailgrid.plans import queries
+
+    spark.createDataFrame([(4321,), (77,)], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(4321,), (9771,)], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {tuple(r) for r in queries.substring_id_map(spark, str(tmp_path)).collect()} == {("4321", "4321"), ("77", "9771")}

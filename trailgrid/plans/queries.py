@@ -349,7 +349,7 @@ def asof_nearest(spark, d):
 p AS (SELECT g, w, o FROM g, s WHERE contains(g, w) OR contains(w, g)) SELECT g, arg_min(w, o) AS w FROM p GROUP BY 1""")
 def substring_id_map(spark, d):
     g = table(spark, d, "events").select(F.col("user_id").cast("string").alias("animal_id"))
-    s = table(spark, d, "orders").where("o_custkey <= 2000").select(F.col("o_custkey").cast("string").alias("wld_serial"), F.col("o_custkey").alias("o"))
+    s = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("wld_serial"), F.col("o_custkey").alias("o"))
     return enrich.match_ids(g, s, order="o")
 
 
