@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used if the session names no spark.checkpoint.dir.
-LOCAL_SHARED = "file:///tmp/checkpoints"
+_made: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows as Parquet and read them back: what follows starts from a short plan and survives lost executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    A session on one machine that names no such folder gets a temporary one,
+    deleted when Python ends.  On a cluster a missing setting is an error: a
+    folder of the driver's own disk would not be seen by the executors.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        spark.conf.set("spark.checkpoint.dir", base := LOCAL_SHARED)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="trailgrid-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base := f"file://{own}")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as Parquet and read them back: what follows starts from a short plan and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that ``shared_path`` has named in this process, once no result is read from it any more; how many there were."""
+    paths, n = list(_made), len(_made)
+    _made.clear()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return n
