@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, materialize
+from .common import arrow_map, as_bytes, map_batches, materialize
 from .components import connected_components
 
 TILE_ROWS = 4096
@@ -82,11 +82,20 @@ def _hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             return
 
 
+def forest(ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of every id to the least id of its class: stars whose centres come first, so that no node has many smaller neighbours."""
+    least = ids.copy()
+    np.minimum.at(least, labels, ids)
+    least = least[labels]
+    rest = ids != least
+    return ids[rest], least[rest]
+
+
 def tile_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the fingerprints within the radius of one another."""
+    """Edges (signed) of a spanning forest of the fingerprints within the radius of one another."""
     if len(fps) == 2:
         near = int(fps[0] ^ fps[1]).bit_count() <= radius
-        return (fps[:1], fps[1:]) if near else (fps[:0], fps[:0])
+        return forest(fps.view(np.int64), np.zeros(2, int) if near else np.arange(2))
     weight = np.bitwise_count(fps).astype(np.int16)
     order = np.argsort(weight, kind="stable")
     fps, weight = fps[order], weight[order]
@@ -101,8 +110,7 @@ def tile_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             a, b = a + i, b + j
             if len(keep := np.flatnonzero(labels[a] != labels[b])):
                 _hook(labels, a[keep], b[keep])
-    rest = np.flatnonzero(labels != np.arange(len(fps)))
-    return fps[rest], fps[labels[rest]]
+    return forest(fps.view(np.int64), labels)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -125,12 +133,11 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
                 us.append(u)
                 vs.append(v)
         if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], ["u", "v"])
 
     for batch in batches:
-        if batch.num_rows:
-            k, i, j, fp = (np.array(batch.column(c)) for c in range(4))
-            yield from edges(np.stack([k, i.astype(np.int64), j.astype(np.int64)], axis=1), fp.view(np.uint64), False)
+        k, i, j, fp = (np.array(batch.column(c)) for c in range(4))
+        yield from edges(np.stack([k, i.astype(np.int64), j.astype(np.int64)], axis=1), fp.view(np.uint64), False)
     if held is not None:
         none = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
         yield from edges(*none, True)
@@ -149,7 +156,7 @@ def links(distinct: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataF
     rows = rows.withColumn("o", mine).select("k", "o", "fp", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("p"))
     rows = rows.select("k", F.least("o", "p").alias("i"), F.greatest("o", "p").alias("j"), "fp")
     dealt = rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return dealt.mapInArrow(lambda it: _compare(it, radius), "u long, v long")
+    return arrow_map(dealt, lambda it: _compare(it, radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -170,4 +177,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = member.groupBy("root").agg(F.min("rep").alias("least"))
     of = member.join(least, "root").select("fp", "least")
     name = classes.join(of, "fp", "left").select(F.col("fp").alias("f"), F.coalesce("least", "rep").alias("component_id"))
+    name = materialize(name, "simhash-names")  # a stored side, so that a fingerprint with very many rows can be split between tasks
     return rows.join(name, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
