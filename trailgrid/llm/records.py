@@ -7,6 +7,10 @@ four, flag 1), compressed by zstd under flag 2; flag 4 marks a null doc_id.
 Beside each shard lies an index of 32-byte entries ``i64 doc_id, u64 offset,
 u64 first id, u32 number of ids, u32 frame length``, so single records can be
 read in any order.
+
+Texts are dealt to tasks by ranges of id (and of the text's hash, so that rows
+of one id can be split), sorted, encoded and written in one pass; a task writes
+as many shards as its rows fill.  There is no bound on their number.
 """
 
 from __future__ import annotations
@@ -23,22 +27,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import arrow_map, held, materialize
+
 WIDE, PACKED, NULL_ID = 1, 2, 4
 HEAD, BODY, INDEX = struct.Struct("<QI"), struct.Struct("<qBI"), struct.Struct("<qQQII")
 MASK_DELTA = 0xA282EAD8
-#: Documents of a shard, about; and most shards (boundaries are held by the driver).
-SHARD_DOCS, SHARDS = 16_384, 4096
-#: Pieces whose ids an executor's Python process remembers at most, about.
-MEMO = 700_000
+#: Documents, and bytes, of a shard at most (a longer document has a shard of its own); documents of a task, about.
+SHARD_DOCS, SHARD_BYTES, TASK_DOCS = 8192, 256_000_000, 8192
+#: Tasks at most; with more documents each writes more shards.
+TASKS = 100_000
+#: Pieces whose ids an executor's Python process remembers at most, and their longest.
+MEMO, MEMO_CHARS = 400_000, 40
 
 #: White space of more than one byte, beside what is tested first.
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _NARROW_SPACE = ("  ", "\n\n", " \n", "\n ", "\0", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 _MARKS = ".,;:!?$#%&*"
-_encoders: dict[tuple, "Encoder"] = {}
 
 
 def masked(data: bytes) -> int:
@@ -68,7 +76,9 @@ class _Pieces(dict):
         ids = self.words.get(word)
         if ids is None:
             tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            ids = self.words[word] = array(self.code, [t.id for t in tokens]).tobytes()
+            ids = array(self.code, [t.id for t in tokens]).tobytes()
+            if len(word) <= MEMO_CHARS:
+                self.words[word] = ids
         return ids
 
     def __missing__(self, piece: str) -> bytes:
@@ -77,7 +87,8 @@ class _Pieces(dict):
             ids = self._word(word) + (self._word(piece[len(word) :]) if len(word) < len(piece) else b"")
         else:
             ids = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        self[piece] = ids
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = ids
         return ids
 
 
@@ -117,9 +128,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("records", path), lambda: Encoder(path))
 
 
 def frame(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
@@ -156,11 +165,13 @@ def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 class _Shard:
-    def __init__(self, folder: str, shard: int) -> None:
+    """One shard of a task: its files appear under their names when they are whole, so a task may run twice."""
+
+    def __init__(self, folder: str, part: int, seq: int) -> None:
         self.fs, root = _open(folder)
         self.fs.create_dir(root, recursive=True)
-        self.shard, self.final = shard, f"{root}/shard-{shard:06d}"
-        self.temp = f"{root}/.shard-{shard:06d}-{uuid.uuid4().hex}"
+        self.part, self.seq, self.final = part, seq, f"{root}/{shard_name(part, seq)}"
+        self.temp = f"{root}/.{shard_name(part, seq)}-{uuid.uuid4().hex}"
         self.out, self.index = self.fs.open_output_stream(f"{self.temp}.rec", buffer_size=1 << 20), []
         self.at = self.ids = 0
 
@@ -169,74 +180,66 @@ class _Shard:
         self.index.append(INDEX.pack(doc_id or 0, self.at, self.ids, n, len(data)))
         self.at, self.ids = self.at + len(data), self.ids + n
 
-    def close(self) -> dict:
+    def close(self) -> pa.RecordBatch:
         self.out.close()
         with self.fs.open_output_stream(f"{self.temp}.idx") as out:
             out.write(b"".join(self.index))
-        for kind in ("rec", "idx"):  # whole files appear under their names, so a task may run twice
+        for kind in ("rec", "idx"):
             self.fs.move(f"{self.temp}.{kind}", f"{self.final}.{kind}")
-        return {"shard": self.shard, "n_docs": len(self.index), "n_ids": self.ids, "n_bytes": self.at}
+        return pa.RecordBatch.from_pylist([{"part": self.part, "seq": self.seq, "n_docs": len(self.index), "n_ids": self.ids, "n_bytes": self.at}], _MANIFEST)
+
+
+_MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
+
 
+def shard_name(part: int, seq: int) -> str:
+    return f"shard-{part:06d}-{seq:06d}"
 
-def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
+
+def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, task_docs: int = TASK_DOCS) -> DataFrame:
     """Encode every whole text and write the shards to ``folder``, which all executors share.
 
-    Returns the manifest ``shard, n_docs, n_ids, n_bytes, first_id``: one row a
-    shard, shards in ascending doc_id order, ``first_id`` the ids of all shards
-    before.  ``end_id`` is appended to each document.  A null or empty text is
-    an empty sequence (plus the end id).  A null doc_id comes first; rows of
-    one doc_id follow each other in the order of their bytes.
+    Returns the manifest ``part, seq, n_docs, n_ids, n_bytes, first_id``: one
+    row a shard, shards in ascending doc_id order by part and seq, ``first_id``
+    the ids of all shards before.  ``end_id`` is appended to each document.  A
+    null or empty text is an empty sequence (plus the end id); a very long one
+    is encoded whole.  A null doc_id comes first; rows of one doc_id follow
+    each other in the order of their texts' hashes, repeated rows too.  An
+    empty table gives no shard; other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = docs.count()
-    shards = max(1, min(SHARDS, -(-n // shard_docs)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else None
-    bounds = np.unique(np.array(cuts or [], np.int64))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        tail = b"" if end_id is None else enc.pack([end_id])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = part.column(0).to_pylist()
-                done = [x + tail for x in enc(part.column(1).to_pylist())]
-                shard = np.searchsorted(bounds, [0 if i is None else i for i in ids], side="left").astype(np.int32)
-                shard[[i is None for i in ids]] = 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), part.column(0), pa.array([len(x) // array(enc.code).itemsize for x in done], pa.int32()), pa.array([frame(i, x, enc.code == "I") for i, x in zip(ids, done, strict=True)], pa.binary())],
-                    ["shard", "doc_id", "n", "record"],
-                )
+    tasks = max(1, min(TASKS, -(-docs.count() // task_docs)))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("text").asc_nulls_first()]
+    dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks, *order[:2]).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, done = None, []
+        enc, part, seq, now = encoder(tokenizer), TaskContext.get().partitionId(), 0, None
+        tail = b"" if end_id is None else enc.pack([end_id])
+        width = array(enc.code).itemsize
         for batch in batches:
-            for shard, doc_id, n_ids, record in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if now is None or now.shard != shard:
-                    if now is not None:
-                        done.append(now.close())
-                    now = _Shard(folder, shard)
-                now.add(doc_id, n_ids, record)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc(batch.column(1).to_pylist()), strict=True):
+                if now is not None and (len(now.index) >= shard_docs or now.at >= SHARD_BYTES):
+                    yield now.close()
+                    now, seq = None, seq + 1
+                now = now or _Shard(folder, part, seq)
+                ids += tail
+                now.add(doc_id, len(ids) // width, frame(doc_id, ids, width == 4))
         if now is not None:
-            done.append(now.close())
-        if done:
-            yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
+            yield now.close()
 
-    framed = docs.mapInArrow(encode, "shard int, doc_id long, n int, record binary")
-    dealt = framed.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "record")
-    rows = sorted(dealt.mapInArrow(write, "shard int, n_docs long, n_ids long, n_bytes long").collect())  # a row a shard
-    before, out = 0, []
-    for r in rows:
-        out.append((*r, before))
-        before += r["n_ids"]
-    return spark.createDataFrame(out, "shard int, n_docs long, n_ids long, n_bytes long, first_id long")
+    written = arrow_map(dealt.select("doc_id", "text"), write, "part int, seq int, n_docs long, n_ids long, n_bytes long", ("records", tokenizer))
+    shards = materialize(written, "manifest")
+    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("own"))  # a row a task, TASKS at most
+    parts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    placed = shards.withColumn("inside", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(F.broadcast(parts), F.col("part") == F.col("p"))
+    return placed.select(*shards.columns, (F.col("ahead") + F.col("inside")).alias("first_id"))
 
 
-def read_shard(folder: str, shard: int, first_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def read_shard(folder: str, part: int, seq: int, first_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """All records of one shard in order, 2000 at a time."""
     fs, root = _open(folder)
-    name = f"{root}/shard-{shard:06d}"
+    name = f"{root}/{shard_name(part, seq)}"
     with fs.open_input_stream(f"{name}.idx") as file:
         index = file.read()
     with fs.open_input_stream(f"{name}.rec", buffer_size=1 << 20) as file:
@@ -259,19 +262,20 @@ def read_records(manifest: DataFrame, folder: str, with_ids: bool = False) -> Da
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from read_shard(folder, row["shard"], row["first_id"], with_ids)
+                yield from read_shard(folder, row["part"], row["seq"], row["first_id"], with_ids)
 
-    n = max(1, manifest.count())
-    return manifest.repartition(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    n = max(1, min(TASKS, manifest.count()))
+    dealt = manifest.repartitionByRange(n, "part", "seq")  # neighbouring shards, one a task
+    return arrow_map(dealt, read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def read_at(folder: str, shard: int, position: int) -> tuple[int | None, np.ndarray]:
+def read_at(folder: str, part: int, seq: int, position: int) -> tuple[int | None, np.ndarray]:
     """One record by its position in the shard, through the offset index alone."""
     fs, root = _open(folder)
-    with fs.open_input_file(f"{root}/shard-{shard:06d}.idx") as file:
+    with fs.open_input_file(f"{root}/{shard_name(part, seq)}.idx") as file:
         file.seek(position * INDEX.size)
         _, offset, _, _, size = INDEX.unpack(file.read(INDEX.size))
-    with fs.open_input_file(f"{root}/shard-{shard:06d}.rec") as file:
+    with fs.open_input_file(f"{root}/{shard_name(part, seq)}.rec") as file:
         file.seek(offset)
         doc_id, ids, _ = unframe(file.read(size))
     return doc_id, ids
