@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize
+from .common import arrow_map, as_bytes, fresh, held, materialize, typed
 
 #: A word of the original text, whose letters A-Z are not lower-cased yet.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -99,46 +99,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, keep:
 
     ``n_hit`` counts the words inside any occurrence of a window, ``items``
     lists the item ids as sorted strings, ``spans`` the character ranges in
-    the original text.  A null or empty text has no words and no hits; a null
+    the original text.  A null or empty text has no words and no hits, a very
+    long one is scanned whole, an empty table gives an empty result; a null
     item text has no windows, rows without an item id are left out, repeated
     items count once.  Repeated documents are judged row by row.  Input
-    columns of these names are replaced.  The automaton is broadcast; the
+    columns of these names are replaced, others may have any name.  The automaton is broadcast; the
     benchmark's size is measured first, and one beyond ``automaton_bytes`` is
     cut into blocks with one pass over the documents each.
     """
     spark = docs.sparkSession
     own = ["n_words", "n_hit", "items", "spans"]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own]) if keep else docs.select(id_col, text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema += ", n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, _w array<int>"
-    typed = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), "_w": pa.list_(pa.int32())}
-    first = True
-    for block in _blocks(benchmark, id_col=item_col, text_col="text", most=automaton_bytes):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = build(sent.value, width)
+    ranges_col, = fresh(docs, "ranges")  # the hit words, for the passes over a large benchmark
+    kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), ranges_col: pa.list_(pa.int32())}
+    schema = f"{typed(docs)}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, {ranges_col} array<int>"
+    kept, text_at = docs.columns, docs.columns.index(text_col)
+    for number, block in enumerate(_blocks(benchmark, id_col=item_col, text_col="text", most=automaton_bytes)):
+        sent = spark.sparkContext.broadcast(block)  # AUTOMATON_BYTES of texts at most
+        key = ("decontaminate", width, hashlib.sha256(repr(block).encode()).hexdigest())
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key, number=number) -> Iterator[pa.RecordBatch]:
+            automaton = held(key, lambda: build(sent.value, width))  # built once a process, not once a task
             for batch in batches:
-                names = batch.schema.names
-                texts = as_bytes(batch.column(names.index(text_col)))
-                before = list(zip(batch.column(names.index("items")).to_pylist(), batch.column(names.index("_w")).to_pylist(), strict=True)) if "_w" in names else None
-                cols: dict[str, list] = {k: [] for k in typed}
+                texts = as_bytes(batch.column(text_at))
+                before = [batch.column(len(kept) + k).to_pylist() for k in (2, 4)] if number else None
+                cols: dict[str, list] = {k: [] for k in kinds}
                 for i, text in enumerate(texts):
                     n, ranges, items = scan(text, automaton)
                     if before is not None:
-                        flat = before[i][1]
-                        ranges, items = merged([*ranges, *zip(flat[::2], flat[1::2], strict=True)]), items | set(before[i][0])
-                    cols["n_words"].append(n)
-                    cols["n_hit"].append(sum(e - s for s, e in ranges))
-                    cols["items"].append(sorted(items))
-                    cols["spans"].append([{"start": s, "end": e} for s, e in offsets(text.decode(), ranges)] if ranges else [])
-                    cols["_w"].append([x for r in ranges for x in r])
-                kept = [c for c in names if c not in typed]
-                yield pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in kept] + [pa.array(cols[k], typed[k]) for k in typed], kept + list(typed))
-
-        docs = (docs if first else materialize(docs, "decontaminate")).mapInArrow(run, schema)
-        first = False
-    return docs.drop("_w") if keep else docs.select(F.col(id_col).alias("doc_id"), *own)
+                        flat = before[1][i]
+                        ranges, items = merged([*ranges, *zip(flat[::2], flat[1::2], strict=True)]), items | set(before[0][i])
+                    found = n, sum(e - s for s, e in ranges), sorted(items), [{"start": s, "end": e} for s, e in offsets(text.decode(), ranges)] if ranges else [], [x for r in ranges for x in r]
+                    for c, v in zip(cols.values(), found, strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *(pa.array(cols[k], kind) for k, kind in kinds.items())], [*kept, *kinds])
+
+        docs = arrow_map(materialize(docs, "decontaminate") if number else docs, run, schema, key)
+    return docs.drop(ranges_col) if keep else docs.select(F.col(id_col).alias("doc_id"), *own)
 
 
 def is_contaminated():
