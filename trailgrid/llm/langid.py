@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import arrow_map, bounded_sample, different
 
 ORDER = 4
 #: Training texts of each language at most.
@@ -64,7 +64,7 @@ class Model:
     keys: list[np.ndarray]  # by order: sorted hashes
     logp: list[np.ndarray]  # by order: a row of log2-probabilities for each hash
     gamma: list[np.ndarray]  # by order of the context: a row of log2 back-off weights for each hash
-    floor: float  # log2 of the uniform probability
+    floor: np.ndarray  # log2 of an unseen character's probability in each language
     limits: dict[str, float] | None = None  # cross-entropy beyond which a text is rejected
 
     def entropies(self, texts: list[str]) -> np.ndarray:
@@ -88,7 +88,7 @@ class Model:
                 if n > 1 and len(todo):
                     where, hit = _find(self.keys[n - 2], found[n - 2][todo - 1])
                     extra[hit] += self.gamma[n - 2][where[hit]]
-            total[todo] = self.floor + extra
+            total[todo] = self.floor + extra  # a character that no language has seen
             sums = np.add.reduceat(total, np.stack([starts, ends], 1).ravel(), axis=0, dtype=np.float64)[::2]
             out[at:end] = -sums / (ends - starts)[:, None]
             at = end
@@ -113,7 +113,7 @@ def count_grams(sample: DataFrame) -> DataFrame:
                 if norm:
                     yield from _counted(lang, norm)
 
-    flat = sample.mapInArrow(run, "lang string, n int, h long, prefix long, suffix long, c long")
+    flat = arrow_map(sample, run, "lang string, n int, h long, prefix long, suffix long, c long")
     return flat.groupBy("lang", "n", "h").agg(F.min("prefix").alias("prefix"), F.min("suffix").alias("suffix"), F.sum("c").alias("c"))
 
 
@@ -130,7 +130,7 @@ def _counted(lang: str, texts: list[str]) -> Iterator[pa.RecordBatch]:
         # the suffix drops the first character: it is the (n-1)-gram that ends at the same place
         suffix = found[n - 2][at] if n > 1 else np.zeros(len(at), np.uint64)
         if n < ORDER:
-            more = np.unique(found[n - 1][edge])
+            more = different(found[n - 1][edge])
             h, prefix, suffix = (np.r_[x, y] for x, y in ((h, more), (prefix, np.zeros(len(more), np.uint64)), (suffix, np.zeros(len(more), np.uint64))))
             counts = np.r_[counts, np.zeros(len(more), np.int64)]
         yield pa.RecordBatch.from_arrays(
@@ -157,7 +157,7 @@ def train(sample: DataFrame) -> Model:
         for k, c in enumerate(("prefix", "suffix")):
             link[k, index[seen]] = cols[c][own][seen].view(np.uint64)
         rows.append((keys, counts, link))
-    alphabet = len(rows[0][0]) + 1
+    alphabet = int((rows[0][1].sum(1) > 0).sum()) + 1  # the characters that occur, and one for all others
     lower, logp, gammas = np.full((1, len(langs)), 1 / alphabet), [], []
     for n in range(1, ORDER + 1):
         keys, counts, link = rows[n - 1]
@@ -185,7 +185,7 @@ def train(sample: DataFrame) -> Model:
         logp.append(np.log2(np.maximum(prob, 1e-30)).astype(np.float32))
         lower = prob
     # boundary contexts are no n-grams to predict: they keep their place for the back-off weights only
-    return Model(langs, [r[0] for r in rows], logp, gammas[1:], float(np.log2(1 / alphabet)) + float(gammas[0].min() if langs else 0))
+    return Model(langs, [r[0] for r in rows], logp, gammas[1:], np.log2(1 / alphabet) + gammas[0][0])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,8 +195,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ``SCORE_CHARS`` characters' evidence at most, halved if the text is
     rejected.  A text that is null or has no letter, or any text if no
     language was learned, is ``und`` with score 0, a null entropy and
-    ``rejected``.  Ties go to the first language in alphabetical order.
-    Repeated rows give repeated rows; other columns are ignored.
+    ``rejected``.  Ties go to the first language in alphabetical order; a very
+    long text is taken whole.  Repeated rows give repeated rows, an empty table
+    an empty result; a null id is kept; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
@@ -220,7 +221,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(score), pa.array(entropy, mask=np.isnan(entropy)), pa.array(out)], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    return arrow_map(rows, run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def calibrate(model: Model, sample: DataFrame, share: float = 0.999, margin: float = 1.05) -> Model:

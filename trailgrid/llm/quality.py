@@ -18,22 +18,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_batches
+from .common import arrow_map, bounded_sample, map_batches, typed
 
 BITS = 20
 #: Training rows of each label at most.
 SAMPLE = 4000
 EPOCHS, ALPHA, BETA, L1, L2 = 8, 0.3, 1.0, 1e-4, 1e-4
-MEMO = 300_000
+#: Words whose hashes a process remembers at most, and their longest.
+MEMO, MEMO_CHARS = 200_000, 40
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _SAME, _CAPS = zlib.crc32(b"="), zlib.crc32(b"^")
 
 
+class _Tokens(dict):
+    """Token -> its hash, with bit 32 set if it is a word in capitals."""
+
+    def __missing__(self, token: str) -> int:
+        h = zlib.crc32(token.encode("utf-8", "surrogatepass")) | (len(token) > 1 and token.isupper()) << 32
+        if len(token) <= MEMO_CHARS:
+            self[token] = h
+        return h
+
+
 class Hasher:
     """Feature indices and values of texts; remembers the hashes of words."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = _Tokens()
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         tokens = _TOKEN.findall(text or "")
@@ -41,8 +52,7 @@ class Hasher:
             return np.empty(0, np.int64), np.empty(0)
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
-        h = np.fromiter((memo[t] if t in memo else memo.setdefault(t, zlib.crc32(t.encode("utf-8", "surrogatepass")) | (len(t) > 1 and t.isupper()) << 32) for t in tokens), np.int64, len(tokens))
+        h = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
         caps = (h >> 32).astype(bool)
         h &= 0xFFFFFFFF
         same = np.r_[False, h[1:] == h[:-1]]
@@ -82,11 +92,15 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray, float]:
     """``indices, weights, bias``, trained on about ``most`` rows of each label, in one task of bounded size.
 
-    Labels join documents by ``id_col``; those without a label, an id or a
-    document are left out.  Without any row the weights are empty and every
-    score is 0.5.
+    Labels join documents by ``id_col``; rows without a label, an id or a
+    document are left out, and so are labels other than 0 and 1 and ids with
+    different labels.  Repeated labels of an id count once, repeated documents
+    as often as they occur; null and empty texts are rows without features.
+    Without any row the weights are empty and every score is 0.5.
     """
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null")
+    label = F.col(label_col).cast("double")
+    rows = labels.where(label.isin(0.0, 1.0)).select(F.col(id_col).alias("id"), label.cast("int").alias("y")).where("id is not null")
+    rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
     chosen = bounded_sample(rows, "id", "y", most)  # 2 * most rows of two numbers, about: broadcast
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
@@ -107,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "d
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[bias, w[at]].astype(np.float32))], ["i", "w"])
 
     hashed = map_batches(sample.select("id", "text", "y"), features, "id long, y int, i binary, v binary")
-    got = hashed.repartition(1).mapInArrow(learn, "i int, w float").toArrow()
+    got = arrow_map(hashed.repartition(1), learn, "i int, w float").toArrow()  # 2 ** BITS weights at most
     index, w = got.column("i").to_numpy(), got.column("w").to_numpy()
     return index[index >= 0], w[index >= 0], float(w[index < 0].sum())
 
@@ -116,14 +130,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: bo
     """``doc_id, score`` of every row, or all columns and ``score`` if ``keep``; only rows of score ``least`` or more if given.
 
     The score is the probability of label 1.  A null or empty text scores the
-    bias alone.  Repeated rows give repeated rows; an input column ``score``
-    is replaced.
+    bias alone, a very long one is scored whole.  Repeated rows give repeated
+    rows, an empty table an empty result; an input column ``score`` is
+    replaced, others may have any name.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights at most
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"]) if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = docs if keep else docs.select("doc_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields) + ", score double"
     names, text_at = out.columns, docs.columns.index(text_col if keep else "text")
+    kept = range(len(names)) if keep else [0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, w, bias = sent.value
@@ -135,7 +150,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: bo
             for k, t in enumerate(batch.column(text_at).to_pylist()):
                 i, v = hasher(t)
                 scores[k] += weights[i] @ v
-            done = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(scores, -35, 35))))], [*names, "score"])
-            yield done if least is None else done.filter(pa.array(done.column("score").to_numpy() >= least))
+            done = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(1 / (1 + np.exp(-np.clip(scores, -35, 35))))], [*names, "score"])
+            yield done if least is None else done.filter(pa.array(done.column(len(names)).to_numpy() >= least))
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, f"{typed(out)}, score double")
