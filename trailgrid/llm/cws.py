@@ -21,8 +21,8 @@ from .common import materialize
 SAMPLES = 32
 #: Samples that one row works out; more make a method too long for the JVM's compiler.
 CHUNK = 4
-#: Documents of a run of neighbouring ids, about, and most runs (their bounds are held by the driver).
-RUN_DOCS, RUNS = 500, 4096
+#: Documents of a run of neighbouring ids, about, while there are no more than ``RUNS`` runs, whose bounds the driver holds; then runs grow.
+RUN_DOCS, RUNS = 500, 40_000
 _BREAK = "[^a-z0-9\\x80-\\x{10FFFF}]+"
 
 
@@ -93,21 +93,49 @@ def hexadecimal(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
+def run_of(key: Column, tie: Column, cuts: list[int]) -> Column:
+    """Number of the run of a row, for sorted bounds; found in two steps, among blocks of bounds and in a block.
+
+    A key that takes up several bounds has as many runs, among which ``tie``
+    (a hash) deals its rows in its order.
+    """
+    bounds = sorted(set(cuts))
+    first = {b: cuts.index(b) for b in bounds}
+    size = max(1, round(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+
+    def below(values: list[int]) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, values)).cast("array<bigint>"), lambda b: b < key))
+
+    # the number of bounds, repeats counted, that lie below the key
+    before = F.lit(len(cuts))
+    if bounds:
+        inside = F.array(*[F.array(*[F.struct(F.lit(b).cast("long").alias("b"), F.lit(first[b]).alias("n")) for b in block]) for block in blocks])
+        block = F.get(inside, below([b[-1] for b in blocks]))
+        before = F.coalesce(F.get(F.filter(block, lambda s: s["b"] >= key), F.lit(0))["n"], F.lit(len(cuts)))
+    hot = {b: k for b in bounds if (k := cuts.count(b)) > 1}
+    if not hot:
+        return before.cast("int")
+    share = F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(1 << 63))), 1) / F.lit(float(1 << 63))
+    kinds = F.coalesce(F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, hot)).cast("array<bigint>"), F.array(*map(F.lit, hot.values()))), key), F.lit(1))
+    return (before + F.least(F.floor(share * kinds), kinds - 1)).cast("int")
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``run, n, doc_id, text, next_text``: each row with the text of the next one in ascending doc_id order.
 
     The last row's next is the first.  Null ids come first, rows of one id in
-    the order of their texts; a null text is empty.  Rows are dealt by runs of
-    neighbouring ids, whose bounds are approximate quantiles; each run's last
-    row takes the first text of the run after it from a table of one row a run.
+    the order of their texts' hashes; a null text is empty.  Rows are dealt by
+    runs of neighbouring ids, whose bounds are approximate quantiles; each
+    run's last row takes the first text of the run after it from a table of
+    one row a run.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    runs = max(1, min(RUNS, -(-rows.count() // RUN_DOCS)))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 100 * runs)).first()[0] if runs > 1 else None
-    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts or []))]).cast("array<bigint>")
-    run = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))).cast("int")
-    order = Window.partitionBy("run").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    placed = rows.withColumn("run", run).select("run", "doc_id", "text", F.row_number().over(order).alias("n"), F.lead("text").over(order).alias("after"))
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("tie"))
+    runs = max(1, min(RUNS, -(-docs.count() // RUN_DOCS)))
+    cuts = rows.agg(F.percentile_approx("key", [i / runs for i in range(1, runs)], 20 * runs)).first()[0] if runs > 1 else None
+    order = Window.partitionBy("run").orderBy("key", "tie", "text")
+    placed = rows.withColumn("run", run_of(F.col("key"), F.col("tie"), sorted(cuts or []))).select("run", "doc_id", "text", F.row_number().over(order).alias("n"), F.lead("text").over(order).alias("after"))
     heads = placed.where("n = 1").select("run", "text")
     around = Window.orderBy("run")  # one row a run
     heads = heads.select(F.col("run").alias("r"), F.coalesce(F.lead("text").over(around), F.first("text").over(around)).alias("head"))
