@@ -2,8 +2,9 @@
 
 URL tokens (host labels and their parts, path words, extensions, query keys)
 and a label make up a transaction.  Spark's FP-growth finds the token sets
-that imply the label; rules are pruned by support, confidence and by a more
-general rule of no less confidence.  A rule is indexed under its rarest token
+that imply the label; rules are pruned by support, by confidence, by lift
+(confidence against the label's share of all rows) and by a more general rule
+of no less confidence.  A rule is indexed under its rarest token
 only; a URL meets the rules of its tokens in one equi-join, where the rest of
 each rule is tested.
 """
@@ -14,6 +15,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
+#: Least share and number of rows of a token set, least confidence, least lift of a rule.
+SUPPORT, LEAST, CONFIDENCE, LIFT = 0.01, 10, 0.0, 1.1
+#: Groups of tokens among which FP-growth deals its trees.
+GROUPS = 32
+#: Rules that may be broadcast; more are joined by a shuffle.
+BROADCAST_RULES = 10_000
 MARK = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,24 +45,27 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, parts, words, keys), lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, support: float = 0.01, least: int = 10, confidence: float = 0.6, url_col: str = "url", label_col: str = "blocked") -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, lift: float = LIFT, url_col: str = "url", label_col: str = "blocked") -> DataFrame:
     """``rule, tokens, rarest, confidence``: the pruned rules that imply the label.
 
     ``labelled`` has a url and a boolean each row; rows without either are
-    left out.  A rule needs ``support`` of all rows and ``least`` of them.
+    left out, repeated rows count as often as they occur, a very long url is
+    cut into tokens like any other.  A rule needs ``support`` of all rows and
+    ``least`` of them with the label, ``confidence``, and ``lift`` times the
+    label's share of all rows.  Without rows, or without labels, there is no rule.
     """
-    rows = labelled.select(tokens(F.col(url_col)).alias("t"), F.col(label_col).alias("y")).where("y is not null and size(t) > 0")
-    rows = rows.select(F.when(F.col("y"), F.concat("t", F.array(F.lit(MARK)))).otherwise(F.col("t")).alias("items")).persist()
-    n = rows.count()
     spark = labelled.sparkSession
-    if not n:
+    rows = labelled.select(tokens(F.col(f"`{url_col}`")).alias("t"), F.col(f"`{label_col}`").alias("y")).where("y is not null and size(t) > 0")
+    rows = materialize(rows.select(F.when(F.col("y"), F.concat("t", F.array(F.lit(MARK)))).otherwise(F.col("t")).alias("items")), "transactions")
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("items", MARK)).alias("y")).first()
+    if not got["y"]:
         return spark.createDataFrame([], "rule long, tokens array<string>, rarest string, confidence double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=confidence).fit(rows)
-    sets = model.freqItemsets
+    growth = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / got["n"])), numPartitions=GROUPS)
+    sets = materialize(growth.fit(rows.repartition(GROUPS)).freqItemsets, "itemsets")
     both = sets.where(F.array_contains("items", MARK) & (F.size("items") > 1)).select(F.array_sort(F.array_except("items", F.array(F.lit(MARK)))).alias("tokens"), F.col("freq").alias("hits"))
     alone = sets.where(~F.array_contains("items", MARK)).select(F.array_sort("items").alias("key"), "freq")
     single = alone.where(F.size("key") == 1).select(F.col("key")[0].alias("token"), F.col("freq").alias("n"))
-    rules = both.join(alone, F.col("tokens") == F.col("key")).where(F.col("hits") >= F.lit(confidence) * F.col("freq"))
+    rules = both.join(alone, F.col("tokens") == F.col("key")).where(F.col("hits") >= F.lit(max(confidence, lift * got["y"] / got["n"])) * F.col("freq"))
     rules = rules.select(F.xxhash64(F.array_join("tokens", " ")).alias("rule"), "tokens", (F.col("hits") / F.col("freq")).alias("confidence"))
     # a rule goes if a subset of its tokens is a rule of no less confidence; both hold the subset's first token
     one = rules.select("rule", "tokens", "confidence", F.explode("tokens").alias("token"))
@@ -61,13 +73,15 @@ def mine(labelled: DataFrame, support: float = 0.01, least: int = 10, confidence
     worse = one.join(general, (F.col("token") == F.col("first")) & (F.col("c") >= F.col("confidence")) & (F.size("sub") < F.size("tokens")) & (F.size(F.array_except("sub", "tokens")) == 0)).select("rule").distinct()
     kept = rules.join(worse, "rule", "left_anti")
     rare = kept.select("rule", F.explode("tokens").alias("token")).join(single, "token").groupBy("rule").agg(F.min(F.struct("n", "token"))["token"].alias("rarest"))
-    return kept.join(rare, "rule").select("rule", "tokens", "rarest", "confidence")
+    return materialize(kept.join(rare, "rule").select("rule", "tokens", "rarest", "confidence"), "rules")
 
 
 def fired(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """``url, confidence``: each different url that a mined rule matches, with the best rule's confidence."""
-    rows = urls.select(F.col(url_col).alias("url")).where("url is not null").distinct().withColumn("t", tokens(F.col("url")))
-    met = rows.select("url", "t", F.explode("t").alias("token")).join(rules.select("tokens", "rarest", "confidence"), F.col("token") == F.col("rarest"))
+    rows = urls.select(F.col(f"`{url_col}`").alias("url")).where("url is not null").distinct().withColumn("t", tokens(F.col("url")))
+    rules = rules.select("tokens", "rarest", "confidence")
+    rules = F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
+    met = rows.select("url", "t", F.explode("t").alias("token")).join(rules, F.col("token") == F.col("rarest"))
     return met.where(F.size(F.array_except("tokens", "t")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
@@ -89,12 +103,14 @@ def judge(pages: DataFrame, mined: DataFrame, rules: list[tuple[str, str]], id_c
 
     An explicit rule decides if one fits; else a url that a mined rule matches
     is blocked and any other allowed.  A null url, or one without ``://``, has
-    an empty host and path and is allowed.  Repeated rows give repeated rows;
-    other columns are ignored.
+    an empty host and path and is allowed.  Repeated rows give repeated rows,
+    a null id is kept, an empty table gives an empty result; other columns are
+    ignored.
     """
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    hits = fired(rows, mined).select(F.col("url").alias("_u"), "confidence")
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"))
+    # a stored side, so that a url with very many pages can be split between tasks
+    hits = materialize(fired(rows, mined).select(F.col("url").alias("_u"), "confidence"), "fired")
     rows = rows.join(hits, F.col("url") == F.col("_u"), "left").select("page_id", host.alias("host"), path.alias("path"), "confidence")
     rule, verdict = explicit(F.col("host"), F.col("path"), rules)
     other = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
