@@ -14,8 +14,9 @@ APP_COLUMNS = {
     "speedCollar": "Cllr_Spd", "dop": "DOP", "numSats": "NumSats", "longitude": "Long", "latitude": "Lat", "utm_datum_and_zone": "UTM_D_Z", "utmZone": "UTM_Zn",
     "UTME": "UTME", "UTMN": "UTMN", "dau": "DAU", "captureGmu": "CptrGMU", "captureDau": "CptrDAU",
 }
-HERD_COLUMNS = ("DAU", "CptrDAU", "CptrGMU", "dau", "captureDau", "captureGmu", "herd")
-PROJECT_COLUMNS = ("Project", "projectName", "project")
+# fixed values: the columns that may name the herd and the project, the first with a value decides
+HERD_COLUMNS = ("CaptureDAU", "captureDau", "CptrDAU", "DAU", "dau", "Project", "project_name")
+PROJECT_COLUMNS = ("Project", "project_name", "ProjectName")
 
 
 def app_names(columns: list[str]) -> dict[str, str]:
@@ -72,12 +73,34 @@ def with_standard_names(df: DataFrame, cfg: ProcessConfig) -> DataFrame:
     return df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns and b not in df.columns})
 
 
+def exact_quantile(df: DataFrame, column: str, share: float = 0.5) -> DataFrame:
+    """One row ``q``: the quantile of a numeric column, interpolated between its two neighbours; NULL without values.
+
+    An approximate sketch gives a narrow bracket around it; what lies below is
+    counted, and only the bracket's different values are sorted in one task.
+    """
+    v = F.col("v")
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    low, high = max(0.0, share - 2e-4), min(1.0, share + 2e-4)
+    got = values.agg(F.count("v").alias("n"), F.percentile_approx("v", [low, high], 10000).alias("p")).first()
+    if not got["n"]:
+        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("q"))
+    a, b = got["p"]
+    rank = share * (got["n"] - 1)
+    k, part = int(rank), rank - int(rank)
+    below = values.agg(F.count_if(v < a)).first()[0]
+    near = values.where(v.between(a, b)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below
+    ends = near.select("v", upto.alias("upto")).agg(F.min(F.when(F.col("upto") > k, v)).alias("x"), F.min(F.when(F.col("upto") > min(k + 1, got["n"] - 1), v)).alias("y"))
+    return ends.select((F.col("x") + (F.col("y") - F.col("x")) * part).alias("q"))
+
+
 def with_coordinates(df: DataFrame) -> DataFrame:
     """Numeric lon and lat; x and y as given if any is, else projected to the UTM zone of the median position."""
     df = df.withColumns({c: text.number(F.col(c)) for c in ("lon", "lat", "x", "y") if c in df.columns})
     if "x" in df.columns and "y" in df.columns and df.where("x is not null").head(1):
         return df
-    middle = df.agg(F.median("lon").alias("lon"), F.median("lat").alias("lat"))
+    middle = exact_quantile(df, "lon").withColumnRenamed("q", "lon").crossJoin(F.broadcast(exact_quantile(df, "lat").withColumnRenamed("q", "lat")))  # one row each
     zone = middle.select(geo.utm_zone(F.col("lon")).alias("utm_zone"), (F.col("lat") < 0).alias("_south"))  # one row
     df = df.drop("x", "y", "utm_zone").crossJoin(F.broadcast(zone))
     x, y = geo.to_utm(F.col("lon"), F.col("lat"), F.col("utm_zone"), F.col("_south"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import temporal, text
+from .ingest import exact_quantile
 
 METRICS = ("eucl_km", "cumu_km", "maxpair_km")
 # fixed values: spellings of the sexes
@@ -26,7 +27,8 @@ def sex_counts(fixes: DataFrame, column: str = "Sex") -> DataFrame:
 
 
 def fix_rate_stats(fixes: DataFrame) -> DataFrame:
-    return fixes.agg(F.max("fix_rate_hours").alias("max_hours"), F.min("fix_rate_hours").alias("min_hours"), F.median("fix_rate_hours").alias("median_hours"))
+    ends = fixes.agg(F.max("fix_rate_hours").alias("max_hours"), F.min("fix_rate_hours").alias("min_hours"))
+    return ends.crossJoin(F.broadcast(exact_quantile(fixes, "fix_rate_hours").withColumnRenamed("q", "median_hours")))  # one row each
 
 
 def season_rollup(trips: DataFrame) -> DataFrame:
