@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ingest import exact_quantile
+
 
 def normalise(ud: DataFrame, keys: list[str], value: str = "density") -> DataFrame:
     """Each surface's values over its sum; NaN and missing values are zeros."""
@@ -72,28 +74,46 @@ def use_area(layers: DataFrame) -> DataFrame:
     return layers.where("density > 0").groupBy("row", "col").agg(F.countDistinct("layer").alias("k")).crossJoin(F.broadcast(n)).select("row", "col", (F.col("k") * 100.0 / F.col("_n")).alias("value"))
 
 
+#: Grid rows of a block of cells of equal value.
+BLOCK_ROWS = 256
+
+
 def use_volume(layers: DataFrame) -> DataFrame:
     """``row, col, density, cum``: the summed use, normal to 1, and its running sum from the most used cell down.
 
     The sum runs in two steps: over bands of like use, which are few, and
-    inside each band, so no task holds all cells.
+    inside each band.
     """
     raw = _share(layers.groupBy("row", "col").agg(F.sum("density").alias("density")))
     return running_mass(raw, "density")
 
 
 def running_mass(surface: DataFrame, value: str, keys: tuple[str, ...] = (), bands: int = 64) -> DataFrame:
-    """``cum``: for each cell the sum of ``value`` over cells of greater value (ties by row and column) and itself."""
+    """``cum``: for each cell the sum of ``value`` over cells of greater value (ties by row and column) and itself.
+
+    Cells are dealt by bands of like logarithm of the value, and by blocks of
+    ``BLOCK_ROWS`` grid rows in a band: equal values, as counts are, are many.
+    A cell's sum has three parts: greater bands, greater values of its band,
+    and cells of its own value before it.  Each runs over pre-aggregated rows,
+    so no task holds all cells.
+    """
     top = surface.groupBy(*keys).agg(F.max(value).alias("_top")) if keys else surface.agg(F.max(value).alias("_top"))
     banded = surface.join(top, list(keys)) if keys else surface.crossJoin(F.broadcast(top))  # one row
-    # bands of like logarithm: an equal value has the same band
     band = F.when(F.col(value) > 0, F.least(F.lit(bands - 1), F.floor(-F.log2(F.col(value) / F.col("_top")) * 2).cast("int"))).otherwise(bands)
-    banded = banded.withColumn("_band", band).drop("_top")
-    sums = banded.groupBy(*keys, "_band").agg(F.sum(value).alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    sums = sums.select(*keys, "_band", before.alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy(*keys, "_band").orderBy(F.desc(value), "row", "col").rowsBetween(Window.unboundedPreceding, 0))
-    return banded.withColumn("_in", inside).join(sums, [*keys, "_band"]).withColumn("cum", F.col("_in") + F.col("_before")).drop("_band", "_in", "_before")
+    banded = banded.withColumns({"_band": band, "_block": F.floor(F.col("row") / BLOCK_ROWS)}).drop("_top")
+    up_to = Window.unboundedPreceding, -1
+
+    def before(rows: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
+        return rows.withColumn(name, F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(*up_to)), F.lit(0.0))).drop("_s")
+
+    sums = banded.groupBy(*keys, "_band", value, "_block").agg(F.sum(value).alias("_s"))
+    values = sums.groupBy(*keys, "_band", value).agg(F.sum("_s").alias("_s"))
+    by_band = before(values.groupBy(*keys, "_band").agg(F.sum("_s").alias("_s")), [*keys], ["_band"], "_a")
+    by_value = before(values, [*keys, "_band"], [F.desc(value)], "_b")
+    by_block = before(sums, [*keys, "_band", value], ["_block"], "_c")
+    ahead = by_block.join(by_value, [*keys, "_band", value]).join(by_band, [*keys, "_band"]).select(*keys, "_band", value, "_block", (F.col("_a") + F.col("_b") + F.col("_c")).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_band", value, "_block").orderBy("row", "col").rowsBetween(Window.unboundedPreceding, 0))
+    return banded.withColumn("_in", inside).join(ahead, [*keys, "_band", value, "_block"]).withColumn("cum", F.col("_in") + F.col("_before")).drop("_band", "_block", "_in", "_before")
 
 
 def volume_isopleth(volume: DataFrame, level: float) -> DataFrame:
@@ -166,7 +186,7 @@ def overlap(cells: DataFrame, a: str, b: str, key: str = "animal_id") -> DataFra
 
 def display_scale(surface: DataFrame, value: str) -> DataFrame:
     """``shown``: the value over the 98th percentile of the positive ones, 1 at most."""
-    top = surface.where(F.col(value) > 0).agg(F.percentile(value, 0.98).alias("_p"))
+    top = exact_quantile(surface.where(F.col(value) > 0), value, 0.98).withColumnRenamed("q", "_p")
     return surface.crossJoin(F.broadcast(top)).withColumn("shown", F.least(F.lit(1.0), F.col(value) / F.col("_p"))).drop("_p")
 
 
