@@ -1,8 +1,8 @@
 """Detection of migrations in the course of net squared displacement.
 
 Smoothing, runs and the folding of neighbouring runs depend on the state of
-the fold, so one animal-year is handled by numpy at a time; animal-years are
-spread over the cluster.  ``runs`` is the relational part on its own.
+the fold, so one animal-year is handled by numpy at a time, many animal-years
+in an Arrow batch; they are spread over the cluster.  ``runs`` is the relational part on its own.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import temporal
+from .grouped import map_groups
+
 DETECTION = "id_bio_year string, animal_id string, sequence_name string, start_date timestamp_ntz, end_date timestamp_ntz, migration_type string, confidence double"
 #: fixed values: least fixes, days of smoothing, least days and share of the range of a run, gap that is bridged, weights
 LEAST_FIXES, SMOOTH_DAYS, RUN_DAYS, RUN_SHARE, BRIDGE, AMPLITUDE, CONSISTENCY = 10, 7, 5.0, 0.05, 0.2, 0.6, 0.4
@@ -75,16 +78,14 @@ def detect_migrations(fixes: DataFrame, nsd: str = "nsd_id_bio_year", most: int
         raise ValueError(f"missing columns {sorted(missing)}")
     place = ["x", "y"] if {"x", "y"} <= set(fixes.columns) else []
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("timestamp", kind="stable")
-        if len(pdf) < LEAST_FIXES:
-            return pd.DataFrame(columns=[c.split()[0] for c in DETECTION.split(", ")])
-        xy = [pdf[c].to_numpy(float) for c in place] or [None, None]
-        rows = detect_one(pdf["nsd"].to_numpy(float), pdf["timestamp"].to_numpy("datetime64[us]"), *xy, most, reach)
-        return pd.DataFrame([{"id_bio_year": pdf["id_bio_year"].iloc[0], "animal_id": pdf["animal_id"].iloc[0]} | r for r in rows], columns=[c.split()[0] for c in DETECTION.split(", ")])
+    def one(key, c: dict[str, np.ndarray]) -> dict:
+        found = []
+        if len(c["t"]) >= LEAST_FIXES:
+            found = detect_one(c["nsd"], c["t"].astype("datetime64[us]"), c.get("x"), c.get("y"), most, reach)
+        return {"id_bio_year": [key] * len(found), "animal_id": [c["animal_id"][0]] * len(found)} | {n: [r[n].astype("int64") if n.endswith("_date") else r[n] for r in found] for n in ("sequence_name", "start_date", "end_date", "migration_type", "confidence")}
 
-    rows = fixes.where(F.col(nsd).isNotNull()).select("id_bio_year", "animal_id", "timestamp", F.col(nsd).alias("nsd"), *place)
-    return rows.groupBy("id_bio_year").applyInPandas(one, DETECTION)
+    rows = fixes.where(F.col(nsd).isNotNull()).select("id_bio_year", "animal_id", temporal.micros(F.col("timestamp")).alias("t"), F.col(nsd).cast("double").alias("nsd"), *[F.col(c).cast("double") for c in place])
+    return map_groups(rows, "id_bio_year", ["t"], one, DETECTION)
 
 
 def runs(df: DataFrame, value: str, keys: tuple[str, ...], least: int = 3) -> DataFrame:

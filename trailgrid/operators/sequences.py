@@ -6,10 +6,12 @@ the one that plans use; the wide form with eight slots is for review.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, temporal, text
+from .grouped import map_groups
 from .movement import unflagged
 
 SLOTS = 8
@@ -146,32 +148,44 @@ def sequence_distances(seq: DataFrame, key: str = "mig", geographic: bool = Fals
     )
 
 
-def _hull_diameter(pdf):
-    import numpy as np
-    import pandas as pd
+def diameter(x: np.ndarray, y: np.ndarray) -> float:
+    """The greatest distance between two points: between corners of the hull, after points inside an octagon of extreme points are left out."""
+    known = ~(np.isnan(x) | np.isnan(y))
+    points = np.stack([x[known], y[known]], axis=1)
+    if len(points) > 16:
+        turns = np.array([[1, 0], [1, 1], [0, 1], [-1, 1], [-1, 0], [-1, -1], [0, -1], [1, -1]], float)
+        ring = points[(points @ turns.T).argmax(0)]
+        side = np.roll(ring, -1, 0) - ring
+        cross = side[:, None, 0] * (points[None, :, 1] - ring[:, None, 1]) - side[:, None, 1] * (points[None, :, 0] - ring[:, None, 0])
+        points = points[~((cross > 0) | (side == 0).all(1)[:, None]).all(0)]
+    points = np.unique(points, axis=0)
 
-    points = np.unique(pdf[["x", "y"]].to_numpy(float), axis=0)
-
-    def half(rows):
+    def half(rows: list) -> list:
         out: list = []
-        for p in rows:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+        for px, py in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (py - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (px - out[-2][0]):
                 out.pop()
-            out.append(tuple(p))
+            out.append((px, py))
         return out
 
-    hull = np.array(sorted({*half(points), *half(points[::-1])})) if len(points) > 2 else points
+    if len(points) > 64:
+        rows = points.tolist()
+        points = np.array(sorted({*half(rows), *half(rows[::-1])}))
     best = 0.0
-    for i in range(0, len(hull), 512):  # the diameter joins two corners of the hull
-        d = hull[i : i + 512, None, :] - hull[None, :, :]
-        best = max(best, float((d * d).sum(2).max())) if len(hull) else 0.0
-    return pd.DataFrame({"key": [pdf["key"].iloc[0]], "maxpair_km": [best**0.5 / 1000]})
+    for i in range(0, len(points), 512):
+        d = points[i : i + 512, None, :] - points[None, :, :]
+        best = max(best, float((d * d).sum(2).max()))
+    return best**0.5
 
 
 def max_pair(seq: DataFrame, key: str = "mig") -> DataFrame:
-    """``key, maxpair_km``: the greatest distance between two fixes of a sequence, from the corners of its convex hull."""
-    rows = seq.where("x is not null and y is not null").select(F.col(key).alias("key"), "x", "y").distinct()
-    return rows.groupBy("key").applyInPandas(_hull_diameter, "key string, maxpair_km double").withColumnRenamed("key", key)
+    """``key, maxpair_km``: the greatest distance between two fixes of a sequence; sequences without a position are left out."""
+
+    def one(name, c: dict[str, np.ndarray]) -> dict:
+        return {"key": [name], "maxpair_km": [diameter(c["x"], c["y"]) / 1000]}
+
+    rows = seq.where("x is not null and y is not null").select(F.col(key).alias("key"), F.col("x").cast("double"), F.col("y").cast("double"))
+    return map_groups(rows, "key", [], one, "key string, maxpair_km double").withColumnRenamed("key", key)
 
 
 def max_pair_summary(pairs: DataFrame) -> DataFrame:
@@ -189,12 +203,23 @@ def line_distances(seq: DataFrame, key: str = "mig", extra: tuple[str, ...] = ()
 
 
 def trips(seq: DataFrame, key: str = "mig") -> DataFrame:
-    """The trip table: season, year, animal, start, end, days (with fraction), three distances and miles; two fixes at least."""
-    lines = line_distances(seq, key, ("label", "bio_year", "animal_id")).where("n_fixes >= 2")
-    return lines.join(max_pair(seq, key), key).select(
-        key, F.col("label").alias("season"), "bio_year", "animal_id", "start_date", "end_date", (temporal.seconds_between(F.col("start_date"), F.col("end_date")) / 86400).alias("days"),
-        "eucl_km", "cumu_km", "maxpair_km", (F.col("cumu_km") * 0.621371).alias("cumu_miles"), "n_fixes",
-    )
+    """The trip table: season, year, animal, start, end, days (with fraction), three distances and miles; two fixes at least.
+
+    One pass over each sequence's fixes gives the line and the diameter.
+    """
+    def one(name, c: dict[str, np.ndarray]) -> dict:
+        x, y, t = c["x"], c["y"], c["t"]
+        if len(x) < 2:
+            return {n: [] for n in names}
+        reach = np.hypot(x[-1] - x[0], y[-1] - y[0]) / 1000
+        row = name, c["label"][0], c["bio_year"][0], c["animal_id"][0], t[0], t[-1], float(t[-1] - t[0]) / 86400e6, reach, float(np.nansum(np.hypot(np.diff(x), np.diff(y)))) / 1000, diameter(x, y) / 1000, len(x)
+        return {n: [v] for n, v in zip(names, row, strict=True)}
+
+    names = ["key", "season", "bio_year", "animal_id", "start_date", "end_date", "days", "eucl_km", "cumu_km", "maxpair_km", "n_fixes"]
+    rows = seq.where("timestamp is not null").select(F.col(key).alias("key"), "label", "bio_year", "animal_id", temporal.micros(F.col("timestamp")).alias("t"), F.col("x").cast("double"), F.col("y").cast("double"))
+    kinds = "key string, season string, bio_year int, animal_id string, start_date timestamp_ntz, end_date timestamp_ntz, days double, eucl_km double, cumu_km double, maxpair_km double, n_fixes long"
+    found = map_groups(rows, "key", ["t"], one, kinds)
+    return found.select(F.col("key").alias(key), *names[1:10], (F.col("cumu_km") * 0.621371).alias("cumu_miles"), "n_fixes")
 
 
 def range_windows(windows: DataFrame, spring: str = "spring", fall: str = "fall") -> DataFrame:

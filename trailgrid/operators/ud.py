@@ -11,12 +11,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ModelConfig
 from ..functions import geo, temporal
+from .grouped import map_groups
 from .movement import sample_days
 
 UD = "seq_id string, row int, col int, density double"
@@ -135,32 +135,51 @@ def minimise(f, low: float, high: float, tolerance: float = 1e-5, most: int = 50
     return math.exp(golden(lambda s: f(math.exp(s)), scale[max(0, best - 1)], scale[min(59, best + 1)], tolerance))
 
 
-def motion_variance(x: np.ndarray, y: np.ndarray, lag: np.ndarray, error: float, max_lag: float) -> float:
-    """Maximum-likelihood Brownian motion variance from the middle fixes of triplets; lags in minutes."""
+def _triplets(x: np.ndarray, y: np.ndarray, lag: np.ndarray, error: float, max_lag: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each middle fix: is it used, its squared distance from the chord, the noise and the factor of the variance there."""
     a, b = lag[:-1], lag[1:]
     use = (a > 0) & (b > 0) & (a <= max_lag) & (b <= max_lag)
+    total = np.where(use, a + b, 1.0)
+    alpha = np.where(use, a, 0.5) / total
+    sq = sum((v[1:-1] - v[:-2] - alpha * (v[2:] - v[:-2])) ** 2 for v in (x, y))
+    return use, sq, ((1 - alpha) ** 2 + 1 + alpha**2) * error**2, total * alpha * (1 - alpha)
+
+
+def motion_variance(x: np.ndarray, y: np.ndarray, lag: np.ndarray, error: float, max_lag: float) -> float:
+    """Maximum-likelihood Brownian motion variance from the middle fixes of triplets; lags in minutes."""
+    use, sq, noise, slope = _triplets(x, y, lag, error, max_lag)
     if not use.any():
         raise ValueError("no valid triplets for variance estimation")
-    total = (a + b)[use]
-    alpha = a[use] / total
-    sq = sum((v[1:-1][use] - v[:-2][use] - alpha * (v[2:] - v[:-2])[use]) ** 2 for v in (x, y))
-    noise = ((1 - alpha) ** 2 + 1 + alpha**2) * error**2
-    slope = total * alpha * (1 - alpha)
+    sq, noise, slope = sq[use], noise[use], slope[use]
     return minimise(lambda s: float(np.sum(np.log(slope * s + noise) + sq / (2 * (slope * s + noise)))), 1e-6, 1e9)
 
 
 def dynamic_variance(x: np.ndarray, y: np.ndarray, lag: np.ndarray, error: float, max_lag: float, window: int, margin: int) -> np.ndarray:
-    """A motion variance for each segment: the mean over the sliding windows whose inner part holds it."""
+    """A motion variance for each segment: the mean over the sliding windows whose inner part holds it.
+
+    The search of ``minimise`` runs for all windows at once.
+    """
     n = len(x) - 1
+    use, sq, noise, slope = (np.lib.stride_tricks.sliding_window_view(v, window - 2) for v in _triplets(x, y, lag, error, max_lag))
+    good = np.flatnonzero(use.any(1))
+    use, sq, noise, slope = (v[good] for v in (use, sq, noise, slope))
+
+    def cost(s: np.ndarray) -> np.ndarray:
+        v = slope * s[:, None] + noise
+        return np.where(use, np.log(v) + sq / (2 * v), 0.0).sum(1)
+
+    scale = np.linspace(math.log(1e-6), math.log(1e9), 60)
+    best = np.argmin(np.stack([cost(np.full(len(good), math.exp(s))) for s in scale], axis=1), axis=1) if len(good) else np.empty(0, int)
+    ratio, a, b = (math.sqrt(5) - 1) / 2, scale[np.maximum(best - 1, 0)], scale[np.minimum(best + 1, 59)]
+    while len(good) and (b - a).max() >= 1e-5:
+        c, d = b - ratio * (b - a), a + ratio * (b - a)
+        left = cost(np.exp(c)) < cost(np.exp(d))
+        a, b = np.where(left, a, c), np.where(left, d, b)
+    found = np.exp((a + b) / 2)
     total, count = np.zeros(n), np.zeros(n)
-    for i in range(0, len(x) - window + 1):
-        try:
-            v = motion_variance(x[i : i + window], y[i : i + window], lag[i : i + window - 1], error, max_lag)
-        except ValueError:
-            continue
-        inner = slice(i + margin - 1, i + window - margin)
-        total[inner] += v
-        count[inner] += 1
+    for k in range(margin - 1, window - margin):  # the segments of a window's inner part
+        np.add.at(total, good + k, found)
+        np.add.at(count, good + k, 1)
     whole = motion_variance(x, y, lag, error, max_lag)
     return np.where(count > 0, total / np.maximum(count, 1), whole)
 
@@ -205,12 +224,9 @@ def _line(grid: Grid, x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarr
 RESULT = "seq_id string, kind string, row int, col int, density double, n_fixes int, n_doy int, bandwidth double, bm_var double, variance_mode string, method string, errors string"
 
 
-def run_one(seq_id: str, pdf: pd.DataFrame, grid: Grid, cfg: ModelConfig) -> pd.DataFrame:
-    """UD cells (kind ``ud``) and one ``meta`` row of a sequence; a failure is its row's ``errors``."""
-    pdf = pdf.sort_values("timestamp", kind="stable")
-    x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-    time = pdf["timestamp"].to_numpy("datetime64[us]")
-    meta = {"n_fixes": len(x), "n_doy": int(pdf["timestamp"].dt.dayofyear.nunique()), "method": cfg.method, "errors": "", "variance_mode": None, "bm_var": None, "bandwidth": None}
+def run_one(seq_id: str, x: np.ndarray, y: np.ndarray, time: np.ndarray, grid: Grid, cfg: ModelConfig) -> dict[str, np.ndarray | list]:
+    """Columns of ``RESULT``: a sequence's UD cells (kind ``ud``) and one ``meta`` row; a failure is its row's ``errors``."""
+    meta = {"n_fixes": len(x), "n_doy": len(np.unique(time.astype("datetime64[D]") - time.astype("datetime64[Y]"))), "bandwidth": None, "bm_var": None, "variance_mode": None, "method": cfg.method, "errors": ""}
     cells = np.empty((0, 2), int)
     values = np.empty(0)
     try:
@@ -244,11 +260,9 @@ def run_one(seq_id: str, pdf: pd.DataFrame, grid: Grid, cfg: ModelConfig) -> pd.
     except Exception as error:  # noqa: BLE001  one sequence's failure is its row
         meta["errors"] = str(error) or type(error).__name__
         cells, values = np.empty((0, 2), int), np.empty(0)
-    ud = pd.DataFrame({"kind": "ud", "row": cells[:, 0], "col": cells[:, 1], "density": values})
-    out = pd.concat([ud, pd.DataFrame([{"kind": "meta"} | meta])], ignore_index=True) if len(ud) else pd.DataFrame([{"kind": "meta"} | meta])
-    out["seq_id"] = seq_id
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    return out.reindex(columns=names)
+    n = len(cells)
+    out = {"seq_id": [seq_id] * (n + 1), "kind": ["ud"] * n + ["meta"], "row": [*cells[:, 0].tolist(), None], "col": [*cells[:, 1].tolist(), None], "density": np.r_[values, np.nan]}
+    return out | {k: [None] * n + [v] for k, v in meta.items()}
 
 
 def _bbmm(x, y, lag, grid, box, cfg: ModelConfig, meta: dict) -> np.ndarray:
@@ -272,10 +286,11 @@ def _bbmm(x, y, lag, grid, box, cfg: ModelConfig, meta: dict) -> np.ndarray:
 
 def run_sequences(seq: DataFrame, grid: Grid, cfg: ModelConfig, key: str = "mig") -> DataFrame:
     """Model every sequence; rows of ``RESULT``.  Sequences run in parallel tasks, failures don't stop others."""
-    rows = seq.select(F.col(key).alias("seq_id"), "timestamp", "x", "y").where("x is not null and y is not null")
+    rows = seq.select(F.col(key).alias("seq_id"), "timestamp", F.col("x").cast("double"), F.col("y").cast("double")).where("x is not null and y is not null")
     if cfg.subsample:
         rows = sample_days(rows, cfg.subsample, cfg.subsample_seed)
-    return rows.groupBy("seq_id").applyInPandas(lambda k, pdf: run_one(k[0], pdf, grid, cfg), RESULT)
+    rows = rows.withColumn("t", temporal.micros(F.col("timestamp"))).drop("timestamp")
+    return map_groups(rows, "seq_id", ["t"], lambda k, c: run_one(k, c["x"], c["y"], c["t"].astype("datetime64[us]"), grid, cfg), RESULT)
 
 
 def ud_cells(results: DataFrame) -> DataFrame:
