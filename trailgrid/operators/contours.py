@@ -127,7 +127,7 @@ def ksmooth(ring: np.ndarray, smoothness: float) -> np.ndarray:
     """A closed ring smoothed by circular Gaussian regression along its length."""
     if smoothness <= 0 or len(ring) < 4:
         return ring
-    per = int(max(1, min(SIDE_POINTS, OUTLINE_POINTS // len(ring))))
+    per = int(max(1, min(SIDE_POINTS, -(-OUTLINE_POINTS // len(ring)))))
     nxt = np.roll(ring, -1, 0)
     t = np.arange(per)[None, :, None] / per
     dense = (ring[:, None] + (nxt - ring)[:, None] * t).reshape(-1, 2).astype(float)

@@ -54,9 +54,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, values: list[str], key: s
     r_rows = right.groupBy(key, second.alias("_t")).agg(*[F.min_by(v, F.struct(*values)).alias(v) for v in values])
     r_rows = r_rows.select(F.col(key).alias("_k"), "_t", empty.alias("_l"), F.struct(F.col("_t").alias("t"), *values).alias("_r"))
     both = l_rows.unionByName(r_rows)
-    w = Window.partitionBy("_k").orderBy("_t")
-    back = F.last("_r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first("_r", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # both frames grow by a row at a time, the second one from the latest time on
+    upto = Window.unboundedPreceding, Window.currentRow
+    back = F.last("_r", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_t").rangeBetween(*upto))
+    ahead = F.last("_r", ignorenulls=True).over(Window.partitionBy("_k").orderBy(F.desc("_t")).rangeBetween(*upto))
     seen = both.withColumns({"_back": back, "_ahead": ahead}).where("_l is not null")
     db, da = temporal.seconds_between(F.col("_back.t"), F.col("_t")), temporal.seconds_between(F.col("_t"), F.col("_ahead.t"))
     best = F.when(F.col("_ahead").isNull() | (F.col("_back").isNotNull() & (db < da)), F.col("_back")).otherwise(F.col("_ahead"))

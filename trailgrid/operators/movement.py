@@ -83,8 +83,8 @@ def with_problems(df: DataFrame, max_speed_kmh: float | None = 10.8, dop_cutoff:
 def with_mortality(df: DataFrame, distance_m: float | None = 50, hours: float | None = 48) -> DataFrame:
     """``mortality_flag, mortality_reason``: every later fix within ``hours`` lies within ``distance_m``, and there is one.
 
-    A frame holds the fixes of one animal in a window of time only; it is
-    measured exactly where its bounding box leaves the question open.
+    A frame holds the fixes of one animal in a window of time only: a row
+    costs as much as its animal has fixes in ``hours``.
     """
     if distance_m is None or hours is None:
         return df.withColumns({"mortality_flag": F.lit(0), "mortality_reason": F.lit("")})
