@@ -48,6 +48,33 @@ def to_utm(lon: Column, lat: Column, zone: Column, south: Column | None = None)
     return x, y if south is None else F.when(south, y + 10000000).otherwise(y)
 
 
+def from_utm(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of metres in a UTM zone of WGS84."""
+    radius, n = _kruger()[0], _N
+    # fixed values: the inverse of Krueger's series in the third flattening n
+    beta = [
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360 - 81 * n**5 / 512 + 96199 * n**6 / 604800,
+        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440 + 46 * n**5 / 105 - 1118711 * n**6 / 3870720,
+        17 * n**3 / 480 - 37 * n**4 / 840 - 209 * n**5 / 4480 + 5569 * n**6 / 90720,
+        4397 * n**4 / 161280 - 11 * n**5 / 504 - 830251 * n**6 / 7257600,
+        4583 * n**5 / 161280 - 108847 * n**6 / 3991680,
+        20648693 * n**6 / 638668800,
+    ]
+    xi = F.when(south, y - 10000000).otherwise(y) / (0.9996 * radius)
+    eta = (x - 500000) / (0.9996 * radius)
+    north, east = xi, eta
+    for j, b in enumerate(beta, 1):
+        north = north - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    e = (_F * (2 - _F)) ** 0.5
+    conformal = F.asin(F.sin(north) / F.cosh(east))
+    lat = conformal
+    for _ in range(6):  # the latitude of a conformal one; each step adds three digits
+        s = F.sin(lat)
+        lat = 2 * F.atan(F.tan(F.lit(0.7853981633974483) + conformal / 2) * F.pow((1 + e * s) / (1 - e * s), F.lit(e / 2))) - F.lit(1.5707963267948966)
+    return F.degrees(F.atan2(F.sinh(east), F.cos(north))) + (zone * 6 - 183), F.degrees(lat)
+
+
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Great-circle distance in kilometres."""
     p, q = F.radians(lat1), F.radians(lat2)

@@ -159,3 +159,15 @@ def road_crossings(fixes: DataFrame, roads: DataFrame, key: str = "id_bio_year",
     hits = track.join(lines, "b").where(meet).groupBy("key").agg(F.max(~F.col("hw")).alias("r"), F.max("hw").alias("h"))
     keys = fixes.select(F.col(key).alias("key")).distinct()
     return keys.join(hits, "key", "left").select(F.col("key").alias(key), F.coalesce("r", F.lit(False)).alias("crosses_road"), F.coalesce("h", F.lit(False)).alias("crosses_highway"))
+
+
+def track_signature(fixes: DataFrame, key: str = "id_bio_year", x: str = "x", y: str = "y") -> DataFrame:
+    """``key, n, signature`` of each track: it changes with any of its keys, times or places."""
+    return fixes.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(key, F.col("timestamp").cast("string"), x, y)).alias("signature"))
+
+
+def stale_crossings(stored: DataFrame, fixes: DataFrame, key: str = "id_bio_year") -> DataFrame:
+    """Keys whose crossings must be worked out again: their track changed since ``stored`` (key, n, signature), is new, or is gone."""
+    now = track_signature(fixes, key).select(key, F.col("n").alias("_n"), F.col("signature").alias("_s"))
+    both = stored.select(key, "n", "signature").join(now, key, "full_outer")
+    return both.where(~(F.col("n").eqNullSafe(F.col("_n")) & F.col("signature").eqNullSafe(F.col("_s")))).select(key)

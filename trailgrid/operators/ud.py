@@ -403,6 +403,11 @@ def line_buffer(seq: DataFrame, grid: Grid, distance: float = 300, key: str = "s
     return cells_of(seg).where(near).select(key, "row", "col").distinct()
 
 
+def animal_line_buffer(seq: DataFrame, members: DataFrame, grid: Grid, distance: float = 200, key: str = "seq_id") -> DataFrame:
+    """``animal_id, row, col``: the cells of all of an animal's sequences' buffers; sequences aren't joined to each other."""
+    return line_buffer(seq, grid, distance, key).join(members.select(key, "animal_id"), key).select("animal_id", "row", "col").distinct()
+
+
 def rasterise(polygons: DataFrame, grid: Grid, key: str = "id") -> DataFrame:
     """Cells whose centre lies inside a polygon: ``polygons`` has ``ring_no`` and ``ring``, an array of (x, y); even-odd rule."""
     n = F.size("ring")

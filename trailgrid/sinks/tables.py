@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame
@@ -65,18 +66,18 @@ def field_names(columns: list[str], most: int = 10) -> list[str]:
     return out
 
 
-def flat_fields(df: DataFrame) -> DataFrame:
-    """For attribute tables: short names, times as text, no nested or interval columns."""
-    keep = [f for f in df.schema.fields if not re.match("array|map|struct|interval|binary", f.dataType.simpleString())]
-    cols = [F.date_format(f.name, "yyyy-MM-dd HH:mm").alias(f.name) if f.dataType.simpleString().startswith("timestamp") else F.col(f.name) for f in keep]
-    return df.select(*cols).toDF(*field_names([f.name for f in keep]))
+def flat_fields(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For attribute tables: short names, times as text, no nested or interval columns but those of ``keep``, as they are."""
+    flat = [f for f in df.schema.fields if f.name not in keep and not re.match("array|map|struct|interval|binary", f.dataType.simpleString())]
+    cols = [F.date_format(f.name, "yyyy-MM-dd HH:mm") if f.dataType.simpleString().startswith("timestamp") else F.col(f.name) for f in flat]
+    return df.select(*[c.alias(n) for c, n in zip(cols, field_names([f.name for f in flat]), strict=True)], *keep)
 
 
-def mig_lines(seq: DataFrame, key: str = "mig") -> DataFrame:
-    """One line a sequence with its dates, number of fixes and three distances."""
+def mig_lines(seq: DataFrame, key: str = "mig", start: tuple[int, int] = (2, 1)) -> DataFrame:
+    """One line a sequence with its dates, number of fixes, three distances and the start of the biological year (``wrr_date``, MM-dd)."""
     lines = sequences.line_distances(seq, key, ("label", "bio_year", "animal_id")).join(sequences.max_pair(seq, key), key)
     shape = seq.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
-    return lines.join(shape, key)
+    return lines.join(shape, key).withColumn("wrr_date", F.lit(f"{start[0]:02d}-{start[1]:02d}"))
 
 
 def mig_points(seq: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -123,11 +124,18 @@ def flat_rows(df: DataFrame) -> DataFrame:
     return flat
 
 
-def text_report(summary: DataFrame, title: str = "Herd summary") -> str:
-    """A text of the season summary's rows, which are few."""
+def text_report(summary: DataFrame, title: str = "Herd summary", about: dict | None = None, settings: dict | None = None) -> str:
+    """A text of what is known of the herd, the season summary's rows, which are few, and the settings."""
     lines = [title, "=" * len(title)]
+    if about:
+        lines += ["", "Study", "-----"] + [f"  {k}: {v}" for k, v in about.items()]
     for row in summary.orderBy("season").collect():
-        lines += ["", str(row["season"]), "-" * len(str(row["season"]))] + [f"  {k}: {v}" for k, v in row.asDict().items() if k != "season"]
+        lines += ["", str(row["season"]), "-" * len(str(row["season"]))]
+        for k, v in row.asDict().items():
+            if k != "season":
+                lines.append(f"  {k}: {'n/a' if v is None else f'{v:.2f}' if isinstance(v, float) else v}")
+    if settings:
+        lines += ["", "Settings", "--------"] + [f"  {k}: {v}" for k, v in settings.items()]
     return "\n".join(lines) + "\n"
 
 
@@ -137,8 +145,11 @@ def export_all(contours: dict[str, DataFrame], uds: DataFrame, footprints: DataF
         write_geojson(shapes, f"{path}/contours/{name}")
     for name, df in metadata.items():
         write_csv(df, f"{path}/metadata/{name}")
-    write_raster(uds, f"{path}/UDs", partition=["season", "seq_id"])
-    write_raster(footprints.withColumn("density", F.lit(1.0)), f"{path}/Footprints", partition=["season", "seq_id"], kind="uint8")
+    # a folder a season; a sequence's cells lie together in its files, which are as many as the shuffle's partitions
+    for name, cells, kind in (("UDs", uds, "float32"), ("Footprints", footprints.withColumn("density", F.lit(1.0)), "uint8")):
+        typed = F.lit(1).cast("byte") if kind == "uint8" else F.col("density").cast("float")
+        rows = cells.select("season", "seq_id", "row", "col", typed.alias("value")).repartition("season", "seq_id").sortWithinPartitions("season", "seq_id", "row", "col")
+        rows.write.mode("overwrite").partitionBy("season").parquet(f"{path}/{name}")
 
 
 def manifest(spark, version: int, parameters: dict, parent: dict | None = None) -> DataFrame:
@@ -152,3 +163,17 @@ def manifest(spark, version: int, parameters: dict, parent: dict | None = None)
 
 def with_file_tokens(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, text.file_token(F.col(column)))
+
+
+def save_project(spark, path: str, tables: dict[str, DataFrame], settings: dict) -> None:
+    """A project's tables as Parquet, beside a sidecar with its settings."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    sidecar = json.dumps({"tables": sorted(tables), "settings": settings}, sort_keys=True)
+    spark.createDataFrame([(sidecar,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_project")
+
+
+def load_project(spark, path: str) -> tuple[dict[str, DataFrame], dict]:
+    """Tables and settings of a saved project."""
+    sidecar = json.loads(spark.read.text(f"{path}/_project").first()[0])
+    return {name: spark.read.parquet(f"{path}/{name}") for name in sidecar["tables"]}, sidecar["settings"]

@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import vector
+
 
 def read_fixes(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV (all columns as strings, so one odd value spoils no column), Parquet or ORC by the path's ending."""
+    """CSV (all columns as strings, so one odd value spoils no column), Parquet, ORC, or a layer of points, by the path's ending.
+
+    Of a layer (.shp, .gpkg) ``columns`` names the attributes; ``Long`` and
+    ``Lat`` in degrees are added where they are missing.
+    """
+    if vector.is_layer(path):
+        if columns is None:
+            raise ValueError("name the attributes of a layer")
+        return vector.read_points(spark, path, columns)
     if path.endswith((".parquet", ".pq")):
         df = spark.read.parquet(path)
     elif path.endswith(".orc"):
