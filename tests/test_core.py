@@ -147,6 +147,107 @@ def test_detects_a_rise_and_a_return():
     assert abs((got[0]["start_date"] - np.datetime64("2024-03-02")) / np.timedelta64(1, "D")) < 3
 
 
+def slow_detections(nsd, days, most):
+    """The detector's rules one by one on lists; days as numbers, without the reach of places."""
+    n = len(nsd)
+    per_day = max(1.0, n / max(1, int(days[-1] - days[0])))
+    window = max(3, round(7 * per_day))
+    window += 1 - window % 2
+    side, period = window // 2, max(1, 2 * (n - 1))
+    fold = lambda i: min(i % period, period - i % period) if i % period >= n else i % period
+    smooth = [sorted(nsd[fold(i + k)] for k in range(-side, side + 1))[side] for i in range(n)]
+    slope = [(smooth[min(i + 1, n - 1)] - smooth[max(i - 1, 0)]) for i in range(n)]
+    sign = [(v > 0) - (v < 0) for v in slope]
+    spread, runs, at = max(smooth) - min(smooth), [], 0
+    while at < n:
+        end = at
+        while end < n and sign[end] == sign[at]:
+            end += 1
+        if sign[at] and end - at >= max(3, round(5 * per_day)) and abs(smooth[end - 1] - smooth[at]) >= 0.05 * spread:
+            if runs and runs[-1][0] == sign[at] and at - runs[-1][2] <= 0.2 * min(runs[-1][2] - runs[-1][1], end - at):
+                runs[-1][2] = end
+            else:
+                runs.append([sign[at], at, end])
+        at = end
+    scored = [(0.6 * abs(smooth[b - 1] - smooth[a]) / (spread or 1) + 0.4 * sum(x == s for x in sign[a:b]) / (b - a), s, a, b) for s, a, b in runs]
+    best = sorted(sorted(scored, key=lambda r: -r[0])[:most], key=lambda r: r[2])
+    return [("outbound" if s > 0 else "return", a, b - 1, round(score, 3)) for score, s, a, b in best]
+
+
+def test_detections_against_plain_rules(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(12):
+        n = int(rng.integers(12, 160))
+        days = np.cumsum(rng.choice([0.25, 0.5, 1.0], n))
+        nsd = np.abs(np.cumsum(rng.normal(size=n))) * 10 + 60 * np.maximum(0, np.sin(days / 15))
+        want[f"a{k}"] = [(kind, days[a], days[b], score) for kind, a, b, score in slow_detections(nsd.tolist(), days.tolist(), 4)]
+        rows += [(f"a{k}", "a", T0 + dt.timedelta(days=float(d)), float(v)) for d, v in zip(days, nsd, strict=True)]
+    df = spark.createDataFrame(rows, "id_bio_year string, animal_id string, timestamp timestamp_ntz, nsd_id_bio_year double").repartition(5)
+    got = {}
+    for r in detect.detect_migrations(df, reach=False).orderBy("id_bio_year", "start_date").collect():
+        got.setdefault(r["id_bio_year"], []).append((r["migration_type"], (r["start_date"] - T0) / dt.timedelta(days=1), (r["end_date"] - T0) / dt.timedelta(days=1), r["confidence"]))
+    assert {k: v for k, v in want.items() if v} == got and len(got) > 5
+
+
+def test_parts_against_a_flood():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        mask = rng.random((12, 12)) < 0.55
+        row, col = np.nonzero(mask)
+        seen, parts = set(), 0
+        for cell in zip(row.tolist(), col.tolist(), strict=True):
+            if cell in seen:
+                continue
+            parts, todo = parts + 1, [cell]
+            while todo:
+                r, c = todo.pop()
+                if (r, c) in seen or not (0 <= r < 12 and 0 <= c < 12) or not mask[r, c]:
+                    continue
+                seen.add((r, c))
+                todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+        part = contours.label(row, col)
+        assert len(set(part.tolist())) == parts
+        assert all(part[i] == part[j] for i in range(len(row)) for j in range(i) if abs(row[i] - row[j]) + abs(col[i] - col[j]) == 1)
+
+
+def test_dynamic_variance_equals_windows_one_by_one():
+    rng = np.random.default_rng(10)
+    xy = np.cumsum(rng.normal(size=(40, 2)) * 100, 0)
+    lag = rng.choice([30.0, 60.0, 900.0], 39, p=[0.5, 0.4, 0.1])
+    got = ud.dynamic_variance(*xy.T, lag, 20.0, 480, 11, 3)
+    total, count = np.zeros(39), np.zeros(39)
+    for i in range(30):
+        v = ud.motion_variance(*xy[i : i + 11].T, lag[i : i + 10], 20.0, 480)
+        total[i + 2 : i + 8] += v
+        count[i + 2 : i + 8] += 1
+    whole = ud.motion_variance(*xy.T, lag, 20.0, 480)
+    assert got == pytest.approx(np.where(count > 0, total / np.maximum(count, 1), whole), rel=1e-4)
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(6)
+    for values in (rng.normal(size=5001), rng.integers(0, 5, 400).astype(float), np.array([3.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for share in (0.0, 0.5, 0.98, 1.0):
+            assert ingest.exact_quantile(df, "v", share).first()[0] == pytest.approx(np.quantile(values, share), abs=1e-12)
+    assert ingest.exact_quantile(df.where("v is null"), "v").first()[0] is None
+
+
+def test_running_mass_with_equal_values(spark):
+    rng = np.random.default_rng(7)
+    cells = [(int(i // 40), int(i % 40) * 300, float(rng.integers(1, 4))) for i in range(1600)]
+    got = population.running_mass(spark.createDataFrame([(c, r, v) for r, c, v in cells], "row int, col int, v double"), "v").orderBy(F.desc("v"), "row", "col").collect()
+    assert [r["cum"] for r in got] == np.cumsum([r["v"] for r in got]).tolist()
+
+
+def test_diameter_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 15, 17, 400):
+        for xy in (rng.normal(size=(n, 2)), rng.integers(0, 3, (n, 2)).astype(float), np.ones((n, 2)), np.stack([np.arange(n), np.arange(n)], 1).astype(float)):
+            assert sequences.diameter(*xy.T) == pytest.approx(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2)).max(), abs=1e-12)
+
+
 def test_asof_tie_takes_the_later(spark):
     g = fixes(spark, [(1, 0, 0)])
     w = fixes(spark, [(0.5, 10, 0), (1.5, 20, 0)]).select("animal_id", "timestamp", F.col("x").alias("v"))

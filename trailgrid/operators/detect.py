@@ -8,7 +8,6 @@ in an Arrow batch; they are spread over the cluster.  ``runs`` is the relational
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +87,18 @@ def detect_migrations(fixes: DataFrame, nsd: str = "nsd_id_bio_year", most: int
     return map_groups(rows, "id_bio_year", ["t"], one, DETECTION)
 
 
+def smoothed(fixes: DataFrame, nsd: str = "nsd_id_bio_year") -> DataFrame:
+    """``id_bio_year, timestamp, nsd, smoothed``: the course of every animal-year and its rolling median."""
+
+    def one(key, c: dict[str, np.ndarray]) -> dict:
+        n = len(c["t"])
+        course = rolling_median(c["nsd"], smoothing_window(fix_rate(c["t"].astype("datetime64[us]")))) if n > 1 else c["nsd"]
+        return {"id_bio_year": [key] * n, "timestamp": c["t"], "nsd": c["nsd"], "smoothed": course}
+
+    rows = fixes.where(F.col(nsd).isNotNull()).select("id_bio_year", temporal.micros(F.col("timestamp")).alias("t"), F.col(nsd).cast("double").alias("nsd"))
+    return map_groups(rows, "id_bio_year", ["t"], one, "id_bio_year string, timestamp timestamp_ntz, nsd double, smoothed double")
+
+
 def runs(df: DataFrame, value: str, keys: tuple[str, ...], least: int = 3) -> DataFrame:
     """Runs of equal sign of ``value``: keys, ``run, sign, n, start, end``; zero runs left out."""
     w = Window.partitionBy(*keys).orderBy("timestamp")
@@ -102,14 +113,8 @@ def plot_data(fixes: DataFrame, id_bio_year: str, windows: DataFrame | None = No
     """The course of one animal-year with its smoothed NSD, and its windows for shading."""
     own = fixes.where(F.col("id_bio_year") == id_bio_year)
     place = [c for c in ("displacement_id_bio_year", "speed") if c in fixes.columns]
-    schema = "timestamp timestamp_ntz, nsd double, smoothed double" + "".join(f", {c} double" for c in place)
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("timestamp", kind="stable").reset_index(drop=True)
-        values = pdf["nsd"].to_numpy(float)
-        times = pdf["timestamp"].to_numpy("datetime64[us]")
-        return pdf.assign(smoothed=rolling_median(values, smoothing_window(fix_rate(times))) if len(pdf) > 1 else values)[["timestamp", "nsd", "smoothed", *place]]
-
-    rows = own.where(F.col(nsd).isNotNull()).select("id_bio_year", "timestamp", F.col(nsd).alias("nsd"), *place)
+    course = smoothed(own, nsd).select("timestamp", "nsd", "smoothed")
+    if place:
+        course = course.join(own.select("timestamp", *place), "timestamp")
     shade = windows.where(F.col("id_bio_year") == id_bio_year).select("slot", "label", "start", "end") if windows is not None else None
-    return rows.groupBy("id_bio_year").applyInPandas(smooth, schema), shade
+    return course, shade

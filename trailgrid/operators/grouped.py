@@ -27,6 +27,11 @@ def map_groups(df: DataFrame, key: str, order: list[str], fn: Callable[[object,
     dealt = df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
+    def array(values: "np.ndarray | list", kind: pa.DataType) -> pa.Array:
+        if pa.types.is_timestamp(kind):  # given as microseconds
+            values = np.asarray(values, np.int64).astype("datetime64[us]")
+        return pa.array(values, kind, from_pandas=True)
+
     def finish(parts: list[pa.RecordBatch]) -> Columns:
         table = pa.Table.from_batches(parts)
         return fn(parts[0].column(at)[0].as_py(), {n: table.column(n).to_numpy() for n in names if n != key})
@@ -34,7 +39,7 @@ def map_groups(df: DataFrame, key: str, order: list[str], fn: Callable[[object,
     def batch_of(found: list[Columns]) -> Iterator[pa.RecordBatch]:
         found = [f for f in found if len(f[kinds.names[0]])]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(f[k.name], k.type, from_pandas=True) for f in found]) for k in kinds], schema=kinds)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([array(f[k.name], k.type) for f in found]) for k in kinds], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []

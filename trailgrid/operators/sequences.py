@@ -56,7 +56,7 @@ def apply_detections(wide: DataFrame, detections: DataFrame) -> DataFrame:
 
 def import_migtime(df: DataFrame, fixes: DataFrame) -> DataFrame:
     """An external table in the long form, its animal keys snapped to the data's (letters and digits decide)."""
-    names = {"".join(ch for ch in c.lower() if ch.isalnum()): c for c in df.columns}
+    names = {"".join(ch for ch in c.lower() if ch.isalnum()): f"`{c}`" for c in df.columns}
     key = F.regexp_replace(F.lower(F.trim(F.col(names["idbioyear"]))), "[^a-z0-9]+", "_")
     slots = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(f"mig{s}").alias("label"), *[temporal.parse(text.or_null(F.col(names[f"mig{s}{e}"])), "yyyy-MM-dd HH:mm:ss").alias(e) for e in ("start", "end")]) for s in range(1, SLOTS + 1) if f"mig{s}start" in names])
     rows = df.select(key.alias("_key"), F.inline(slots)).where("start is not null and end is not null")

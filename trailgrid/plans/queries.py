@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import temporal
+from ..functions import geo, temporal, text
 from ..operators import contours, detect, enrich, ingest, movement, population, report, sequences, ud
 from . import fixtures
 from .fixtures import BIO_YEAR, SQL, fixes, table
@@ -53,28 +53,27 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
     return sequences.extract_sequences(flagged(spark, d), fixtures.windows(spark, d))
 
 
-_points: dict[tuple[str, str], DataFrame] = {}
-
-
 def points(spark: SparkSession, d: str) -> DataFrame:
-    """The sequences' fixes, stored once a session: every surface starts from them, and some several times."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _points:
-        _points[key] = stored(extracted(spark, d).select(F.col("mig").alias("seq_id"), "animal_id", F.col("label").alias("season"), "bio_year", "timestamp", "x", "y"), "sequences")
-    return _points[key]
+    """The sequences' fixes, stored: a query's surfaces start from them, some several times."""
+    return stored(extracted(spark, d).select(F.col("mig").alias("seq_id"), "animal_id", F.col("label").alias("season"), "bio_year", "timestamp", "x", "y"), "sequences")
 
 
-def members(spark: SparkSession, d: str) -> DataFrame:
-    return points(spark, d).select("seq_id", "animal_id", "season", "bio_year").distinct()
+def members(p: DataFrame) -> DataFrame:
+    return p.select("seq_id", "animal_id", "season", "bio_year").distinct()
 
 
-def use_cells(spark: SparkSession, d: str) -> DataFrame:
+def use_cells(p: DataFrame) -> DataFrame:
     """A UD by counting: the share of a sequence's fixes in each 2 km cell."""
-    c = points(spark, d).select("seq_id", F.floor(F.col("y") / CELL).cast("int").alias("row"), F.floor(F.col("x") / CELL).cast("int").alias("col"))
+    c = p.select("seq_id", F.floor(F.col("y") / CELL).cast("int").alias("row"), F.floor(F.col("x") / CELL).cast("int").alias("col"))
     c = c.groupBy("seq_id", "row", "col").agg(F.count(F.lit(1)).cast("double").alias("density"))
     return c.withColumn("density", F.col("density") / F.sum("density").over(Window.partitionBy("seq_id")))
 
 
+def used(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = points(spark, d)
+    return use_cells(p), members(p)
+
+
 USE_SQL = """,
 cnt AS (SELECT seq_id, CAST(floor(y / 2000) AS INTEGER) AS "row", CAST(floor(x / 2000) AS INTEGER) AS col, CAST(count(*) AS DOUBLE) AS n FROM pts GROUP BY ALL),
 uc AS (SELECT seq_id, "row", col, n / sum(n) OVER (PARTITION BY seq_id) AS density FROM cnt),
@@ -185,14 +184,22 @@ def quality_filter(spark, d):
 
 
 @query("""SELECT 'western_longitudes' AS "check", count(*) FILTER (lon >= 0) = 0 AS passed, CAST(count(*) FILTER (lon >= 0) AS VARCHAR) AS detail FROM fixes UNION ALL
+SELECT 'coordinates', TRUE, printf('%.4f %.4f %.4f %.4f', min(lon), max(lon), min(lat), max(lat)) FROM fixes UNION ALL
 SELECT 'required_columns', FALSE, 'Species' UNION ALL SELECT 'no_missing_animal_id', count(*) FILTER (animal_id = '') = 0, CAST(count(*) FILTER (animal_id = '') AS VARCHAR) FROM fixes UNION ALL
 SELECT 'no_missing_AgeClass', count(*) FILTER ("AgeClass" = '') = 0, CAST(count(*) FILTER ("AgeClass" = '') AS VARCHAR) FROM fixes UNION ALL SELECT 'at_least_100_rows', count(*) >= 100, CAST(count(*) AS VARCHAR) FROM fixes UNION ALL SELECT 'timestamp_spelling', TRUE, 'timestamp'""")
 def validation(spark, d):
-    return ingest.validate(fixes(spark, d), ["animal_id", "AgeClass", "Species"], "timestamp").where("check <> 'coordinates'")
+    return ingest.validate(fixes(spark, d), ["animal_id", "AgeClass", "Species"], "timestamp")
 
 
-@query("SELECT string_agg(DISTINCT \"DAU\", '_' ORDER BY \"DAU\") AS herd_id, 'Project' AS project FROM fixes")
+@query("""SELECT string_agg(DISTINCT 'C' || CAST(user_id % 2 AS VARCHAR), '_' ORDER BY 'C' || CAST(user_id % 2 AS VARCHAR)) AS herd_id, 'ElkStudy7' AS project FROM fixes""")
 def herd_id_project(spark, d):
+    """CaptureDAU is blank, so CptrDAU decides before DAU; Project is blank, so project_name does."""
+    f = fixes(spark, d).withColumns({"CaptureDAU": F.lit(" "), "CptrDAU": F.concat(F.lit("C"), (F.col("user_id") % 2).cast("string")), "Project": F.lit(""), "project_name": F.lit(" Elk Study (7)")})
+    return ingest.herd_id(f).crossJoin(ingest.project_name(f, "timestamp"))
+
+
+@query("SELECT string_agg(DISTINCT \"DAU\", '_' ORDER BY \"DAU\") AS herd_id, 'Project' AS project FROM fixes")
+def herd_id_default(spark, d):
     f = fixes(spark, d)
     return ingest.herd_id(f).crossJoin(ingest.project_name(f, "timestamp"))
 
@@ -323,10 +330,26 @@ def circular_median(spark, d):
     return o.groupBy("animal_id").agg(temporal.circular_median_day(F.col("t")).cast("int").alias("median_day"))
 
 
-@query("""SELECT season, y AS year, CAST(count(*) AS VARCHAR) AS n, strftime(min(start_date), '%m/%d') AS earliest_start, strftime(max(end_date), '%m/%d') AS latest_end FROM (SELECT *, unnest([CAST(bio_year AS VARCHAR), 'All_Years']) AS y FROM trips) GROUP BY 1, 2""")
+@query(""", trip2 AS (SELECT *, unnest([CAST(bio_year AS VARCHAR), 'All_Years']) AS y FROM trips),
+edge AS (SELECT season, y, unnest(['start', 'end']) AS c, unnest([start_date, end_date]) AS t FROM trip2),
+dd AS (SELECT season, y, c, t, date_diff('day', DATE '2001-01-01', make_date(2001, CAST(month(t) AS INTEGER), CAST(CASE WHEN month(t) = 2 AND day(t) = 29 THEN 28 ELSE day(t) END AS INTEGER))) AS v FROM edge),
+m0 AS (SELECT season, y, c, min(t) AS lo, max(t) AS hi, atan2(avg(sin(v * 2 * pi() / 365)), avg(cos(v * 2 * pi() / 365))) * 365 / (2 * pi()) AS m FROM dd GROUP BY 1, 2, 3),
+m1 AS (SELECT *, CAST(round_even(m - 365 * floor(m / 365), 0) AS INTEGER) % 365 AS mean_v FROM m0),
+o AS (SELECT season, y, c, v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY season, y, c) AS n, lead(v) OVER w AS nx, min(v) OVER (PARTITION BY season, y, c) AS mn FROM dd WINDOW w AS (PARTITION BY season, y, c ORDER BY v)),
+seam AS (SELECT season, y, c, arg_max(i, coalesce(nx - v, mn + 365 - v) * 1000000 - i) AS s, any_value(n) AS n FROM o GROUP BY 1, 2, 3),
+med AS (SELECT season, y, c, v AS med_v FROM seam JOIN o USING (season, y, c) WHERE o.i = (s + 1 + seam.n // 2) % seam.n),
+one AS (SELECT season, y, c, unnest(['earliest_' || c, 'latest_' || c, 'median_' || c, 'average_' || c]) AS metric, unnest([strftime(lo, '%m/%d'), strftime(hi, '%m/%d'), strftime(DATE '2001-01-01' + CAST(med_v AS INTEGER), '%m/%d'), strftime(DATE '2001-01-01' + mean_v, '%m/%d')]) AS value FROM m1 JOIN med USING (season, y, c))
+SELECT season, y AS year, metric, value FROM one UNION ALL SELECT season, y, 'n', CAST(count(*) AS VARCHAR) FROM trip2 GROUP BY 1, 2""")
 def sequences_summary(spark, d):
-    long = report.sequences_summary(sequences.trips(extracted(spark, d))).where("metric in ('n', 'earliest_start', 'latest_end')")
-    return long.groupBy("season", "year").pivot("metric", ["n", "earliest_start", "latest_end"]).agg(F.first("value"))
+    return report.sequences_summary(sequences.trips(extracted(spark, d)))
+
+
+@query("""SELECT season, count(DISTINCT animal_id) AS n_animals, count(*) AS n_sequences, make_timestamp(CAST(floor(median(epoch_us(start_date))) AS BIGINT)) AS median_start, make_timestamp(CAST(floor(median(epoch_us(end_date))) AS BIGINT)) AS median_end,
+round(avg(cumu_km), 6) AS mean_cumu_km, round(median(cumu_km), 6) AS median_cumu_km, round(stddev_samp(cumu_km), 6) AS std_cumu_km, round(min(cumu_km), 6) AS min_cumu_km, round(max(cumu_km), 6) AS max_cumu_km,
+round(avg(days), 6) AS mean_days, round(median(days), 6) AS median_days, round(stddev_samp(days), 6) AS std_days, round(min(days), 6) AS min_days, round(max(days), 6) AS max_days FROM trips GROUP BY 1""")
+def season_summary(spark, d):
+    s = report.season_summary(sequences.trips(extracted(spark, d)))
+    return s.select(*[r(c).alias(c) if c.endswith(("_km", "_days")) else c for c in s.columns])
 
 
 ASOF_SQL = """, gps AS (SELECT ord, animal_id, date_trunc('second', timestamp) AS t FROM fixes WHERE event_type IN ('click', 'view', 'purchase')),
@@ -452,17 +475,17 @@ tc AS (SELECT *, max(CASE WHEN run > {c} THEN density END) OVER (PARTITION BY se
 
 @query(USE_SQL + CUT.format(c="0.813") + """ SELECT seq_id, "row", col, round(density / sum(density) OVER (PARTITION BY seq_id), 6) AS density FROM kept""")
 def tail_cut(spark, d):
-    return ud.tail_cut(use_cells(spark, d), 0.813).select("seq_id", "row", "col", r("density").alias("density"))
+    return ud.tail_cut(use_cells(points(spark, d)), 0.813).select("seq_id", "row", "col", r("density").alias("density"))
 
 
 @query(USE_SQL + CUT.format(c="0.517") + """ SELECT seq_id, "row", col FROM kept""")
 def footprint(spark, d):
-    return ud.footprint(use_cells(spark, d), 51.7)
+    return ud.footprint(use_cells(points(spark, d)), 51.7)
 
 
 @query(USE_SQL + """, tk AS (SELECT *, sum(density) OVER (PARTITION BY seq_id ORDER BY density DESC, "row", col ROWS UNBOUNDED PRECEDING) AS run FROM uc) SELECT seq_id, "row", col FROM tk WHERE run - density < 0.517""")
 def contour_cells(spark, d):
-    return ud.contour_cells(use_cells(spark, d), 51.7)
+    return ud.contour_cells(use_cells(points(spark, d)), 51.7)
 
 
 @query(GRID_SQL + """, seg AS (SELECT seq_id, x, y, coalesce(lead(x) OVER w, CASE WHEN count(*) OVER (PARTITION BY seq_id) = 1 THEN x END) AS x2, coalesce(lead(y) OVER w, CASE WHEN count(*) OVER (PARTITION BY seq_id) = 1 THEN y END) AS y2 FROM pts WINDOW w AS (PARTITION BY seq_id ORDER BY timestamp)),
@@ -477,17 +500,17 @@ def line_buffer(spark, d):
 
 @query(USE_SQL + """SELECT animal_id, "row", col, round(density, 6) AS density FROM ind""")
 def individual_ud(spark, d):
-    return population.individual_ud(use_cells(spark, d), members(spark, d)).withColumn("density", r("density"))
+    return population.individual_ud(*used(spark, d)).withColumn("density", r("density"))
 
 
 @query(USE_SQL + """SELECT DISTINCT animal_id, "row", col FROM uc JOIN mem USING (seq_id)""")
 def individual_footprint(spark, d):
-    return population.individual_footprint(use_cells(spark, d), members(spark, d))
+    return population.individual_footprint(*used(spark, d))
 
 
 @query(USE_SQL + """SELECT "row", col, round(sum(density) / (SELECT count(DISTINCT animal_id) FROM ind), 8) AS density FROM ind GROUP BY 1, 2""")
 def range_density(spark, d):
-    return population.range_density(use_cells(spark, d), members(spark, d)).withColumn("density", r("density", 8))
+    return population.range_density(*used(spark, d)).withColumn("density", r("density", 8))
 
 
 LAYER_SQL = USE_SQL + """, ay0 AS (SELECT animal_id, bio_year, count(*) AS k FROM mem GROUP BY 1, 2), ay AS (SELECT animal_id, bio_year, "row", col, sum(density) / any_value(k) AS density FROM uc JOIN mem USING (seq_id) JOIN ay0 USING (animal_id, bio_year) GROUP BY 1, 2, 3, 4),
@@ -496,21 +519,21 @@ yk AS (SELECT animal_id, count(DISTINCT bio_year) AS k FROM mem GROUP BY 1), lay
 
 @query(LAYER_SQL + """ SELECT "row", col, round(count(DISTINCT layer) * 100.0 / (SELECT count(DISTINCT layer) FROM lay), 6) AS value FROM lay WHERE density > 0 GROUP BY 1, 2""")
 def population_use_area(spark, d):
-    return population.use_area(population.merged_layers(use_cells(spark, d), members(spark, d))).withColumn("value", r("value"))
+    return population.use_area(population.merged_layers(*used(spark, d))).withColumn("value", r("value"))
 
 
 @query(LAYER_SQL + """, v0 AS (SELECT "row", col, sum(density) AS v FROM lay GROUP BY 1, 2) SELECT "row", col, round(v / (SELECT sum(v) FROM v0), 8) AS density FROM v0""")
 def population_use_volume(spark, d):
-    return population.use_volume(population.merged_layers(use_cells(spark, d), members(spark, d))).select("row", "col", r("density", 8).alias("density"))
+    return population.use_volume(population.merged_layers(*used(spark, d))).select("row", "col", r("density", 8).alias("density"))
 
 
 @query(USE_SQL + """SELECT "row", col, round(count(DISTINCT seq_id) * 100.0 / (SELECT count(DISTINCT seq_id) FROM uc), 6) AS value FROM uc GROUP BY 1, 2""")
 def population_footprint(spark, d):
-    return population.footprint_share(use_cells(spark, d)).withColumn("value", r("value"))
+    return population.footprint_share(use_cells(points(spark, d))).withColumn("value", r("value"))
 
 
 def _season(spark, d, name: str, **settings) -> DataFrame:
-    individual = population.individual_ud(use_cells(spark, d), members(spark, d), by_season=True)
+    individual = population.individual_ud(*used(spark, d), by_season=True)
     return population.season_products(individual, ["season"], only={name}, **settings)[name]
 
 
@@ -534,10 +557,10 @@ def season_top_p(spark, d):
     return _season(spark, d, "top20")
 
 
-@query(USE_SQL + """SELECT season, count(*) AS n_cells FROM (SELECT *, sum(mean_ud) OVER (PARTITION BY season ORDER BY mean_ud DESC, "row", col ROWS UNBOUNDED PRECEDING) AS run, sum(mean_ud) OVER (PARTITION BY season) AS t FROM surf) WHERE run - mean_ud < t * 0.137 GROUP BY 1""")
+@query(USE_SQL + """, su AS (SELECT season, "row", col, round(mean_ud, 10) AS u FROM surf) SELECT season, "row", col, u AS mean_ud FROM (SELECT *, sum(u) OVER (PARTITION BY season ORDER BY u DESC, "row", col ROWS UNBOUNDED PRECEDING) AS run, sum(u) OVER (PARTITION BY season) AS t FROM su) WHERE run - u < t * 0.137""")
 def season_stopover(spark, d):
-    s = _season(spark, d, "stopover", stopover_pct=13.7)
-    return s.groupBy("season").agg(F.count(F.lit(1)).alias("n_cells"))
+    s = population.season_surface(population.individual_ud(*used(spark, d), by_season=True), ["season"])
+    return population.smallest_prefix(s.withColumn("mean_ud", r("mean_ud", 10)), "mean_ud", 13.7, ["season"])
 
 
 @query()
@@ -612,7 +635,173 @@ def preview_page(spark, d):
     return preview(fixes(spark, d).select("ord", "animal_id", "timestamp"), 2, order="ord")
 
 
-@query("SELECT count(*) AS n_fixes, count(DISTINCT animal_id) AS n_animals, CAST(sum(problem) AS BIGINT) AS n_problem, CAST(sum(mortality_flag) AS BIGINT) AS n_mortality, round(sum(dist) / 1000, 3) AS dist_km FROM flagged")
+_NSD_GROUPS = {"id_yr": "animal_id, year(timestamp)", "animal_id": "animal_id", "id_bio_year": "animal_id, bio_year"}
+_CHAIN_SQL = "".join(
+    f", r{i} AS (SELECT ord, avg(CASE WHEN n <= 20 THEN x END) OVER (PARTITION BY {k}) AS rx{i}, avg(CASE WHEN n <= 20 THEN y END) OVER (PARTITION BY {k}) AS ry{i} FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY timestamp) AS n FROM fixes))"
+    for i, k in enumerate(_NSD_GROUPS.values())
+)
+
+
+@query(_CHAIN_SQL + " SELECT ord, burst_id, round(dist, 5) AS dist, round(dt, 3) AS dt, round(speed, 6) AS speed, round(abs_angle, 5) AS abs_angle, round(rel_angle, 5) AS rel_angle, problem, mortality_flag, animal_id || '_' || bio_year AS id_bio_year, "
+       + ", ".join(f"round(rx{i}, 6) AS ref_x_{n}, round(((x - rx{i}) * (x - rx{i}) + (y - ry{i}) * (y - ry{i})) / 1e6, 6) AS nsd_{n}" for i, n in enumerate(_NSD_GROUPS)) + " FROM flagged JOIN r0 USING (ord) JOIN r1 USING (ord) JOIN r2 USING (ord)")
 def process_chain(spark, d):
     f = measure(fixes(spark, d), ProcessConfig(bio_year_start=BIO_YEAR), "ord")
-    return f.agg(F.count(F.lit(1)).alias("n_fixes"), F.countDistinct("animal_id").alias("n_animals"), F.sum("problem").alias("n_problem"), F.sum("mortality_flag").alias("n_mortality"), r(F.sum("dist") / 1000, 3).alias("dist_km"))
+    nsd = [c for n in _NSD_GROUPS for c in (r(f"ref_x_{n}", 6).alias(f"ref_x_{n}"), r(f"nsd_{n}").alias(f"nsd_{n}"))]
+    return f.select("ord", "burst_id", r("dist", 5).alias("dist"), r("dt", 3).alias("dt"), r("speed").alias("speed"), r("abs_angle", 5).alias("abs_angle"), r("rel_angle", 5).alias("rel_angle"), "problem", "mortality_flag", "id_bio_year", *nsd)
+
+
+def _utm_sql() -> str:
+    """Krueger's series as SQL, for the zone of each longitude."""
+    radius, alpha = geo._kruger()
+    e = 0.0818191908426215
+    sums = ["xi" + "".join(f" + {a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1)), "eta" + "".join(f" + {a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1))]
+    return f""", a0 AS (SELECT ord, CAST(floor((lon + 180) / 6) + 1 AS INTEGER) AS utm_zone, radians(lat) AS p, radians(lon - (6 * (floor((lon + 180) / 6) + 1) - 183)) AS l FROM fixes WHERE lon IS NOT NULL),
+a1 AS (SELECT *, sinh(atanh(sin(p)) - {e!r} * atanh({e!r} * sin(p))) AS t FROM a0), a2 AS (SELECT *, atan2(t, cos(l)) AS xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) AS eta FROM a1)
+SELECT ord, utm_zone, round(500000 + {0.9996 * radius!r} * ({sums[1]}), 3) AS x, round({0.9996 * radius!r} * ({sums[0]}), 3) AS y FROM a2"""
+
+
+@query(_utm_sql())
+def utm_forward(spark, d):
+    f = fixes(spark, d).where("lon is not null").select("ord", "lon", "lat", geo.utm_zone(F.col("lon")).alias("utm_zone"))
+    x, y = geo.to_utm(F.col("lon"), F.col("lat"), F.col("utm_zone"))
+    return f.select("ord", "utm_zone", r(x, 3).alias("x"), r(y, 3).alias("y"))
+
+
+@query("SELECT ord, round(lon, 8) AS lon, round(lat, 8) AS lat FROM fixes WHERE lon IS NOT NULL")
+def utm_inverse(spark, d):
+    f = fixes(spark, d).where("lon is not null").withColumn("zone", geo.utm_zone(F.col("lon")))
+    x, y = geo.to_utm(F.col("lon"), F.col("lat"), F.col("zone"))
+    lon, lat = geo.from_utm(F.col("e"), F.col("n"), F.col("zone"), F.lit(False))
+    return f.select("ord", "zone", x.alias("e"), y.alias("n")).select("ord", r(lon, 8).alias("lon"), r(lat, 8).alias("lat"))
+
+
+@query("SELECT ord, CASE WHEN ord % 10 < 8 THEN date_trunc('minute', timestamp) END AS timestamp FROM fixes")
+def timestamp_spellings(spark, d):
+    text = F.when(F.col("ord") % 10 < 6, F.date_format("timestamp", "M/d/yyyy H:mm")).when(F.col("ord") % 10 < 8, F.date_format("timestamp", "yyyy-MM-dd HH:mm")).otherwise("never")
+    return temporal.parse_flexibly(fixes(spark, d).select("ord", text.alias("t")), "t", "yyyy-MM-dd HH:mm:ss").select("ord", "timestamp")
+
+
+@query(""", g AS (SELECT animal_id || '_' || bio_year AS id_bio_year, *, row_number() OVER (PARTITION BY animal_id, bio_year ORDER BY timestamp) - 1 AS i, count(*) OVER (PARTITION BY animal_id, bio_year) AS n,
+  avg(CASE WHEN k20 <= 20 THEN x END) OVER (PARTITION BY animal_id, bio_year) AS rx, avg(CASE WHEN k20 <= 20 THEN y END) OVER (PARTITION BY animal_id, bio_year) AS ry,
+  min(timestamp) OVER (PARTITION BY animal_id, bio_year) AS t0, max(timestamp) OVER (PARTITION BY animal_id, bio_year) AS t1 FROM (SELECT *, row_number() OVER (PARTITION BY animal_id, bio_year ORDER BY timestamp) AS k20 FROM fixes)),
+w AS (SELECT id_bio_year, ord, timestamp, i, n, ((x - rx) * (x - rx) + (y - ry) * (y - ry)) / 1e6 AS v, CAST(greatest(3, round_even(7 * greatest(1, n / greatest(1, floor((epoch_us(t1) - epoch_us(t0)) / 86400e6))), 0)) AS BIGINT) AS s0 FROM g),
+s AS (SELECT *, (s0 - 1 + s0 % 2) // 2 + CASE WHEN s0 % 2 = 0 THEN 1 ELSE 0 END - CASE WHEN s0 % 2 = 0 THEN 0 ELSE 0 END AS side, greatest(1, 2 * (n - 1)) AS p FROM w),
+j AS (SELECT id_bio_year, ord, timestamp, v, n, p, unnest(range(i - CAST(side AS BIGINT), i + CAST(side AS BIGINT) + 1)) AS q FROM s),
+f AS (SELECT *, CASE WHEN ((q % p) + p) % p >= n THEN p - ((q % p) + p) % p ELSE ((q % p) + p) % p END AS at FROM j)
+SELECT f.id_bio_year, f.timestamp, round(f.v, 6) AS nsd, round(median(w.v), 6) AS smoothed FROM f JOIN w ON w.id_bio_year = f.id_bio_year AND w.i = f.at GROUP BY f.ord, 1, 2, f.v""")
+def smoothed_nsd(spark, d):
+    f = movement.with_nsd(keyed(spark, d), ["animal_id", "bio_year"], "id_bio_year")
+    return detect.smoothed(f).select("id_bio_year", "timestamp", r("nsd").alias("nsd"), r("smoothed").alias("smoothed"))
+
+
+@query(""", tri AS (SELECT n_nationkey AS k, 10.0 + n_nationkey AS ax, 15.0 AS ay, 60.0 + n_nationkey AS bx, 25.0 AS b_y, 30.0 AS cx, 70.0 + n_nationkey AS cy FROM nation),
+cell AS (SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, (c + 0.5) * 2.5 AS x, 100 - (r + 0.5) * 2.5 AS y FROM range(40) a(r), range(40) b(c)),
+side AS (SELECT k, "row", col, (bx - ax) * (y - ay) - (b_y - ay) * (x - ax) AS s1, (cx - bx) * (y - b_y) - (cy - b_y) * (x - bx) AS s2, (ax - cx) * (y - cy) - (ay - cy) * (x - cx) AS s3 FROM tri, cell)
+SELECT CAST(k AS VARCHAR) AS id, "row", col FROM side WHERE (s1 > 0 AND s2 > 0 AND s3 > 0) OR (s1 < 0 AND s2 < 0 AND s3 < 0)""")
+def rasterised_polygons(spark, d):
+    k = F.col("n_nationkey")
+    corners = [(10.0 + k, F.lit(15.0)), (60.0 + k, F.lit(25.0)), (F.lit(30.0), 70.0 + k)]
+    ring = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners])
+    shapes = table(spark, d, "nation").select(k.cast("string").alias("id"), F.lit(0).alias("ring_no"), ring.alias("ring"))
+    return ud.rasterise(shapes, ud.Grid(0.0, 0.0, 100.0, 100.0, 40, 40, 2.5))
+
+
+@query(""", y AS (SELECT animal_id, bio_year, max(CASE WHEN slot = 1 THEN "end" END) AS se, max(CASE WHEN slot = 2 THEN "start" END) AS fs FROM migtime GROUP BY 1, 2),
+i AS (SELECT f.ord, f.animal_id, y.bio_year AS range_year, CAST(f.timestamp AS DATE) AS day FROM flagged f JOIN y ON y.animal_id = f.animal_id AND f.timestamp BETWEEN y.se AND y.fs WHERE y.se < y.fs AND problem = 0 AND mortality_flag = 0),
+n AS (SELECT animal_id, range_year, count(DISTINCT day) AS nd FROM i GROUP BY 1, 2)
+SELECT ord, animal_id || '_' || range_year || '_Summer' AS mig FROM i JOIN n USING (animal_id, range_year) WHERE nd >= 3""")
+def range_sequences(spark, d):
+    return sequences.range_sequences(flagged(spark, d), fixtures.windows(spark, d), min_days=3)[0].select("ord", "mig")
+
+
+@query("""SELECT animal_id, strftime(timestamp, '%Y-%m-%d %H:%M') AS timestamp, ord AS "fix_number", round(x, 4) AS "cumulative", round(y, 4) AS "Cumulativ1" FROM fixes""")
+def flat_attributes(spark, d):
+    from ..sinks.tables import flat_fields
+
+    f = fixes(spark, d)
+    return flat_fields(f.select("animal_id", "timestamp", F.col("ord").alias("fix.number.of.animal"), r("x", 4).alias("cumulative.km"), r("y", 4).alias("Cumulative_m"), F.array("x").alias("nested")))
+
+
+@query(""", det AS (SELECT animal_id || '_' || bio_year AS id_bio_year, CAST(timestamp AS TIMESTAMP) AS s, row_number() OVER (PARTITION BY animal_id, bio_year ORDER BY timestamp) AS n FROM fixes WHERE event_type = 'signup')
+SELECT f.id_bio_year, max(CASE WHEN n = 1 THEN s END) AS mig1start, max(CASE WHEN n = 1 THEN s + INTERVAL 2 DAY END) AS mig1end, max(CASE WHEN n = 8 THEN s END) AS mig8start, coalesce(bool_or(n IS NOT NULL), FALSE) AS auto_detected
+FROM (SELECT DISTINCT animal_id || '_' || bio_year AS id_bio_year FROM fixes) f LEFT JOIN det USING (id_bio_year) GROUP BY 1""")
+def detections_applied(spark, d):
+    k = keyed(spark, d)
+    found = k.where("event_type = 'signup'").select("id_bio_year", F.col("timestamp").alias("start_date"), F.expr("timestamp + interval 2 days").alias("end_date"))
+    return sequences.apply_detections(sequences.migtime_scaffold(k), found).select("id_bio_year", "mig1start", "mig1end", "mig8start", "auto_detected")
+
+
+@query("SELECT id_bio_year, animal_id, CAST(bio_year AS INTEGER) AS bio_year, CAST(slot AS INTEGER) AS slot, 'mig' || slot AS label, \"start\", \"end\" FROM migtime")
+def migtime_import(spark, d):
+    """An outside table with other spellings of keys and names, and NA for what is missing."""
+    wide = sequences.to_wide(fixtures.windows(spark, d))
+    text = [F.coalesce(F.date_format(f"mig{s}{e}", "yyyy-MM-dd HH:mm:ss"), F.lit("NA")).alias(f"Mig{s}.{e.title()}") for s in (1, 2, 3) for e in ("start", "end")]
+    outside = wide.select(F.upper(F.regexp_replace("id_bio_year", "_", " - ")).alias("id_bioYear"), *text)
+    return sequences.import_migtime(outside, keyed(spark, d))
+
+
+@query(CLASS_SQL + """ SELECT f.id_bio_year, coalesce(classification, 'unclassified') AS classification, classification IS NOT NULL OR id_bio_year IN (SELECT id_bio_year FROM migtime WHERE CAST(substr(animal_id, 2) AS INTEGER) % 2 = 0) AS reviewed
+FROM (SELECT DISTINCT animal_id || '_' || bio_year AS id_bio_year FROM fixes) f LEFT JOIN (SELECT * FROM cls WHERE classification = 'migrant') USING (id_bio_year)""")
+def review_states(spark, d):
+    k = keyed(spark, d)
+    w = fixtures.windows(spark, d).where(F.substring("animal_id", 2, 9).cast("int") % 2 == 0).select("id_bio_year", F.col("start").alias("start_date"), F.col("end").alias("end_date"))
+    wide = sequences.apply_detections(sequences.migtime_scaffold(k), w)
+    return sequences.review_state(wide, _classes(spark, d).where("classification = 'migrant'")).select("id_bio_year", "classification", "reviewed")
+
+
+@query("""SELECT id_bio_year, slot, CASE label WHEN 'Spring' THEN 'To summer' ELSE label END AS shown, label AS restored FROM (SELECT id_bio_year, CAST(slot AS INTEGER) AS slot, label FROM migtime)""")
+def labels_renamed(spark, d):
+    w = fixtures.windows(spark, d).select("id_bio_year", "slot", "label")
+    shown, legend = sequences.renamed_labels(w, {"Spring": "To summer"})
+    back = sequences.restored_labels(shown, legend)
+    return shown.withColumnRenamed("label", "shown").join(back.withColumnRenamed("label", "restored"), ["id_bio_year", "slot"])
+
+
+EDIT_SQL = """, ed AS (SELECT animal_id, timestamp, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS flag, event_type AS e FROM fixes WHERE event_type IN ('signup', 'error')),
+pe AS (SELECT animal_id, timestamp, flag FROM ed WHERE e = 'signup'), me AS (SELECT animal_id, timestamp, flag FROM ed WHERE e = 'error'),
+j AS (SELECT f.ord, f.animal_id, f.timestamp, f.problem, f.mortality_flag, pe.flag AS p, me.flag AS m, max(CASE WHEN me.flag = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY f.animal_id ORDER BY f.timestamp ROWS UNBOUNDED PRECEDING) AS dead
+FROM flagged f LEFT JOIN pe ON pe.animal_id = f.animal_id AND pe.timestamp = f.timestamp LEFT JOIN me ON me.animal_id = f.animal_id AND me.timestamp = f.timestamp)"""
+
+
+@query(EDIT_SQL + " SELECT ord, coalesce(p, problem) AS problem, CASE WHEN m = 0 THEN 0 WHEN dead = 1 THEN 1 ELSE mortality_flag END AS mortality_flag FROM j")
+def edits_applied(spark, d):
+    f = flagged(spark, d)
+    e = fixes(spark, d).where("event_type in ('signup', 'error')")
+    flag = F.when(F.col("k") % 2 == 0, 1).otherwise(0)
+    kind = F.when(F.col("event_type") == "signup", "problem").otherwise("mortality")
+    at = F.col("timestamp")
+    edits = e.select("animal_id", "timestamp", kind.alias("kind"), flag.alias("flag"), at.alias("edited_at"))
+    older = e.select("animal_id", "timestamp", kind.alias("kind"), (1 - flag).alias("flag"), F.expr("timestamp - interval 1 day").alias("edited_at"))  # overruled
+    return movement.apply_edits(f, edits.unionByName(older)).select("ord", "problem", "mortality_flag")
+
+
+@query("SELECT c_custkey, regexp_replace(trim(c_name || ' (' || c_mktsegment || ')/' || c_nationkey), '[^a-zA-Z0-9_\\-]+', '_', 'g') AS token FROM customer")
+def file_tokens(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.file_token(F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")/"), F.col("c_nationkey").cast("string"))).alias("token"))
+
+
+@query("SELECT ord, CASE WHEN ord % 5 = 0 THEN NULL ELSE round(x, 3) END AS value FROM fixes")
+def tolerant_numbers(spark, d):
+    raw = F.when(F.col("ord") % 10 == 0, "n/a").when(F.col("ord") % 5 == 0, "NaN").otherwise(F.col("x").cast("string"))
+    return fixes(spark, d).select("ord", r(text.number(raw), 3).alias("value"))
+
+
+@query(USE_SQL + """, sb AS (SELECT animal_id, season, bio_year, "row", col, sum(density) / any_value(k) AS d FROM uc JOIN mem USING (seq_id) JOIN (SELECT animal_id, season, bio_year, count(*) AS k FROM mem GROUP BY 1, 2, 3) USING (animal_id, season, bio_year) GROUP BY 1, 2, 3, 4, 5),
+h2 AS (SELECT season, bio_year, count(DISTINCT animal_id) AS h FROM sb GROUP BY 1, 2) SELECT season, CAST(bio_year AS INTEGER) AS bio_year, "row", col, CAST(count(DISTINCT animal_id) AS INTEGER) AS n, round(sum(d) / any_value(h), 8) AS mean_ud FROM sb JOIN h2 USING (season, bio_year) GROUP BY 1, 2, 3, 4""")
+def season_year_surface(spark, d):
+    return population.year_summaries(*used(spark, d))["season_year"].withColumn("mean_ud", r("mean_ud", 8))
+
+
+@query(USE_SQL + """, ps AS (SELECT quantile_cont(mean_ud, 0.98) AS p FROM surf) SELECT season, "row", col, round(least(1, mean_ud / p), 6) AS shown FROM surf, ps""")
+def display_values(spark, d):
+    s = population.season_surface(population.individual_ud(*used(spark, d), by_season=True), ["season"])
+    return population.display_scale(s, "mean_ud").select("season", "row", "col", r("shown").alias("shown"))
+
+
+@query("SELECT DISTINCT animal_id FROM fixes WHERE CAST(substr(animal_id, 2) AS INTEGER) % 7 IN (0, 1)")
+def crossings_stale(spark, d):
+    """One animal in seven moved since, and one in seven is new."""
+    f = fixes(spark, d)
+    k = F.col("user_id") % 7
+    before = enrich.track_signature(f.where(k != 1).withColumn("x", F.when(k == 0, F.col("x") + 1).otherwise(F.col("x"))), "animal_id")
+    return enrich.stale_crossings(before, f, "animal_id")

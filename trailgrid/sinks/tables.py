@@ -69,7 +69,7 @@ def field_names(columns: list[str], most: int = 10) -> list[str]:
 def flat_fields(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """For attribute tables: short names, times as text, no nested or interval columns but those of ``keep``, as they are."""
     flat = [f for f in df.schema.fields if f.name not in keep and not re.match("array|map|struct|interval|binary", f.dataType.simpleString())]
-    cols = [F.date_format(f.name, "yyyy-MM-dd HH:mm") if f.dataType.simpleString().startswith("timestamp") else F.col(f.name) for f in flat]
+    cols = [F.date_format(f"`{f.name}`", "yyyy-MM-dd HH:mm") if f.dataType.simpleString().startswith("timestamp") else F.col(f"`{f.name}`") for f in flat]
     return df.select(*[c.alias(n) for c, n in zip(cols, field_names([f.name for f in flat]), strict=True)], *keep)
 
 
