@@ -397,6 +397,55 @@ def test_texts():
     assert ProcessConfig().max_speed_kmh == 10.8
 
 
+def test_stored_outputs_and_their_metadata(spark, tmp_path):
+    cells = spark.createDataFrame([("s1", 0, 0, 0.5), ("s2", 1, 1, 0.25)], "seq_id string, row int, col int, density double")
+    sinks.write_raster(cells, f"{tmp_path}/ud", partition=["seq_id"])
+    sinks.write_csv(spark.createDataFrame([("s1", "Spring"), ("s1", "again")], "sequence string, season string"), f"{tmp_path}/meta")
+    uds, none = sources.read_model_outputs(spark, f"{tmp_path}/ud", f"{tmp_path}/meta", f"{tmp_path}/no")
+    got = {r["seq_id"]: r["season"] for r in uds.collect()}
+    assert none is None and got["s1"] in ("Spring", "again") and got["s2"] is None and uds.count() == 2
+    assert {r["value"] for r in spark.read.parquet(f"{tmp_path}/ud").collect()} == {0.5, 0.25}
+
+
+def test_written_lines_points_and_unflagged(spark, tmp_path):
+    f = fixes(spark, [(h, h * 100, 0) for h in range(4)]).withColumns({"problem": F.when(F.col("x") == 100, 1).otherwise(0), "mortality_flag": F.lit(0)})
+    seq = f.withColumns({"mig": F.lit("m"), "label": F.lit("Spring"), "bio_year": F.lit(2023)})
+    sinks.write_mig_outputs(seq, f, str(tmp_path / "mig"))
+    row = geojson.read_attributes(spark, str(tmp_path / "mig" / "lines"), ["mig", "wrr_date", "n_fixes"]).first()
+    assert tuple(row) == ("m", "02-01", "4") and spark.read.parquet(str(tmp_path / "mig" / "points")).count() == 4
+    assert sinks.write_flags_removed(f, str(tmp_path / "kept")) and spark.read.parquet(str(tmp_path / "kept")).count() == 3
+    assert not sinks.write_flags_removed(f.where("problem = 1"), str(tmp_path / "none"))
+    flat = sinks.flat_rows(spark.range(1).select(F.struct(F.lit(1).alias("a")).alias("s"), F.lit("x").alias("k"), F.create_map(F.lit("m"), F.lit(2)).alias("mm")))
+    assert {tuple(r) for r in flat.collect()} == {("s", "a", "1"), ("", "k", "x"), ("mm", "m", '{"value":2}')}
+
+
+def test_days_are_sampled_alike(spark):
+    f = fixes(spark, [(h / 4, h, h) for h in range(400)]).withColumn("seq_id", F.lit("s"))
+    got = [sorted(r["x"] for r in movement.sample_days(x, 5, 42).collect()) for x in (f, f.repartition(7))]
+    assert got[0] == got[1] and len(got[0]) == 25 and got[0] != sorted(r["x"] for r in movement.sample_days(f, 5, 43).collect())
+
+
+def test_snow_days_are_pruned(spark, tmp_path):
+    spark.createDataFrame([(20240101 + i, 0, 0, 0.5, 0.1) for i in range(4)], "date int, row int, col int, depth double, swe double").write.partitionBy("date").parquet(str(tmp_path / "snow"))
+    got = sources.read_snow(spark, str(tmp_path / "snow"), "20240102", "20240103")
+    assert sorted(r["date"] for r in got.collect()) == ["20240102", "20240103"] and "PartitionFilters: [isnotnull" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_hold_no_stale_rows(spark, tmp_path):
+    """A query over a table that was written anew gives the new rows."""
+    import shutil
+
+    from trailgrid.plans import queries
+
+    for name in ("events",):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    before = queries.pop_grid(spark, str(tmp_path)).first()
+    small = spark.read.parquet(f"{tmp_path}/events.parquet").where("user_id % 2 = 0").toPandas()
+    small["ts"] = small["ts"].astype("datetime64[us]")
+    small.to_parquet(tmp_path / "events.parquet")
+    assert queries.pop_grid(spark, str(tmp_path)).first() != before
+
+
 def test_report_tables(spark):
     rows = [("Spring", 2024, "a", T0, T0 + dt.timedelta(days=3), 3.0, 1.0, 2.0, 2.0), ("Fall", 2024, "b", T0, T0 + dt.timedelta(days=5), 5.0, 1.0, 4.0, 2.0)]
     trips = spark.createDataFrame(rows, "season string, bio_year int, animal_id string, start_date timestamp_ntz, end_date timestamp_ntz, days double, eucl_km double, cumu_km double, maxpair_km double")

@@ -109,6 +109,12 @@ def test_workbooks(spark, tmp_path):
     assert sheet._column(27) == "AB"
 
 
+def test_summaries(spark, tmp_path):
+    df = spark.range(2).select("id", F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    files.write_summaries({"herd": df}, str(tmp_path), "Herd")
+    assert spark.read.option("header", True).csv(str(tmp_path / "herd")).count() == 2 and sheet.read((tmp_path / "Herd.xlsx").read_bytes())["herd"][1][0] == 0
+
+
 def test_projects(spark, tmp_path):
     df = spark.range(3)
     tables.save_project(spark, str(tmp_path / "p"), {"fixes": df, "windows": df.limit(1)}, {"herd": "D1"})

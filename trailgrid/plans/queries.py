@@ -352,6 +352,28 @@ def season_summary(spark, d):
     return s.select(*[r(c).alias(c) if c.endswith(("_km", "_days")) else c for c in s.columns])
 
 
+@query(""", t2 AS (SELECT *, unnest([season, 'all']) AS s FROM trips), ang AS (SELECT s, (date_diff('day', DATE '2001-01-01', make_date(2001, CAST(month(start_date) AS INTEGER), CAST(CASE WHEN month(start_date) = 2 AND day(start_date) = 29 THEN 28 ELSE day(start_date) END AS INTEGER)))) * 2 * pi() / 365 AS a FROM t2),
+ms AS (SELECT s, atan2(avg(sin(a)), avg(cos(a))) * 365 / (2 * pi()) AS m FROM ang GROUP BY 1), fr AS (SELECT max(fix_rate_hours) AS mx, median(fix_rate_hours) AS md FROM steps)
+SELECT 'D' AS herd_id, (SELECT count(DISTINCT animal_id) FROM fixes) AS num_ind, (SELECT count(DISTINCT animal_id) FROM trips) AS mig_ind, (SELECT round(mx, 6) FROM fr) AS max_hours, (SELECT round(md, 6) FROM fr) AS median_hours,
+(SELECT count(*) FROM (SELECT animal_id, arg_min("Sex", timestamp) FILTER ("Sex" IS NOT NULL) AS x FROM fixes GROUP BY 1) WHERE upper(x) IN ('F', 'FEMALE')) AS n_female,
+s AS season, count(DISTINCT animal_id) AS n_animals, count(*) AS n_sequences, round(avg(days), 6) AS mean_days, round(stddev_samp(eucl_km), 6) AS sd_eucl_km, strftime(DATE '2001-01-01' + CAST(round_even(any_value(m) - 365 * floor(any_value(m) / 365), 0) AS INTEGER) % 365, '%m/%d') AS mean_start
+FROM t2 JOIN ms USING (s) GROUP BY s""")
+def herd_row(spark, d):
+    """The wide row of the herd, a row for each of its seasons."""
+    f = stepped(spark, d)
+    row = report.herd_metadata(f, sequences.trips(extracted(spark, d)), spark.range(1).select(F.lit("D").alias("herd_id")))
+    wide = row.select("herd_id", "num_ind", "mig_ind", r("max_hours").alias("max_hours"), r("median_hours").alias("median_hours"), "n_female", F.explode("seasons").alias("season", "s"))
+    return wide.select("herd_id", "num_ind", "mig_ind", "max_hours", "median_hours", "n_female", "season", "s.n_animals", "s.n_sequences", r("s.mean_days").alias("mean_days"), r("s.sd_eucl_km").alias("sd_eucl_km"), "s.mean_start")
+
+
+@query("SELECT mig AS id, '01-15' AS wrr_date, round(maxpair_km, 6) AS maxpair_km, CAST(n_fixes AS INTEGER) AS n_points FROM lines JOIN maxpair USING (mig)")
+def line_features(spark, d):
+    from ..sinks.tables import mig_lines
+
+    t = mig_lines(extracted(spark, d), start=BIO_YEAR)
+    return t.select(F.col("mig").alias("id"), "wrr_date", r("maxpair_km").alias("maxpair_km"), F.size("line").alias("n_points"))
+
+
 ASOF_SQL = """, gps AS (SELECT ord, animal_id, date_trunc('second', timestamp) AS t FROM fixes WHERE event_type IN ('click', 'view', 'purchase')),
 wld AS (SELECT animal_id, date_trunc('second', timestamp) AS t, min(value) AS var FROM fixes WHERE event_type IN ('error', 'signup') GROUP BY 1, 2),
 b AS (SELECT g.ord, g.t, w.t AS t1, w.var AS v1 FROM gps g ASOF LEFT JOIN wld w ON g.animal_id = w.animal_id AND g.t >= w.t),
@@ -792,6 +814,17 @@ def season_year_surface(spark, d):
     return population.year_summaries(*used(spark, d))["season_year"].withColumn("mean_ud", r("mean_ud", 8))
 
 
+@query(ORACLES["line_buffer"][len(f"WITH {SQL.strip()}"):].replace("SELECT DISTINCT seq_id,", "SELECT DISTINCT animal_id,").replace("FROM pr WHERE", "FROM pr JOIN (SELECT DISTINCT seq_id, animal_id FROM pts) USING (seq_id) WHERE").replace("1500", "900"))
+def animal_line_buffer(spark, d):
+    p = points(spark, d)
+    return ud.animal_line_buffer(p, members(p), ud.make_grid(p, CELL), 900)
+
+
+@query(USE_SQL + """SELECT season, "row", col FROM surf WHERE n >= 4""")
+def season_minimum_mask(spark, d):
+    return _season(spark, d, "minimum4", min_individuals=(4,))
+
+
 @query(USE_SQL + """, ps AS (SELECT quantile_cont(mean_ud, 0.98) AS p FROM surf) SELECT season, "row", col, round(least(1, mean_ud / p), 6) AS shown FROM surf, ps""")
 def display_values(spark, d):
     s = population.season_surface(population.individual_ud(*used(spark, d), by_season=True), ["season"])

@@ -18,7 +18,7 @@ from ..formats.files import put, write_files
 from ..functions import text
 from ..operators.grouped import map_groups
 from ..operators.ud import Grid
-from .tables import NODATA, flat_fields
+from .tables import NODATA, flat_fields, write_csv
 
 #: Rows of a sheet, which the format bounds.
 SHEET_ROWS = 1_048_575
@@ -90,3 +90,11 @@ def write_workbook(tables: dict[str, DataFrame], path: str) -> None:
         plain = (int, float, bool, str, type(None))
         sheets[name] = df.columns, [tuple(v if isinstance(v, plain) else str(v) for v in r) for r in rows]
     put(path, sheet.write(sheets))
+
+
+def write_summaries(tables: dict[str, DataFrame], folder: str, name: str = "summary") -> None:
+    """Each table as one CSV, and all of them as the sheets of one workbook."""
+    for table, df in tables.items():
+        flat = df.select([F.to_json(f.name).alias(f.name) if f.dataType.simpleString().startswith(("array", "map", "struct")) else F.col(f"`{f.name}`") for f in df.schema.fields])
+        write_csv(flat, f"{folder}/{table}")
+    write_workbook(tables, f"{folder}/{name}.xlsx")

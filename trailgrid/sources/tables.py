@@ -50,6 +50,15 @@ def read_roads(spark: SparkSession, path: str, category: str = "all") -> DataFra
     return df.where(df["mtfcc"].isin(*classes))
 
 
+def read_snow(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """``date, row, col, depth, swe`` of a table partitioned by date (yyyyMMdd); other days than asked for aren't read."""
+    df = spark.read.parquet(path)
+    df = df.withColumn("date", df["date"].cast("string"))
+    for edge, keep in ((first, df["date"] >= first), (last, df["date"] <= last)):
+        df = df.where(keep) if edge else df
+    return df.select("date", "row", "col", "depth", "swe")
+
+
 def read_model_outputs(spark: SparkSession, ud_path: str, metadata_path: str | None = None, footprint_path: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Stored UDs with their sequence's metadata by left join, and footprints if they are there."""
     uds = spark.read.parquet(ud_path)
