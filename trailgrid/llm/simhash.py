@@ -4,9 +4,9 @@ Fingerprints within a Hamming radius r agree on two of r + 2 blocks of bits at
 least, so the fingerprints are dealt by every pair of blocks.  Inside such a
 group tiles are compared exactly with numpy exclusive-or and bit counts; a
 tile pair whose population counts differ beyond the radius is skipped.  A
-group of more than ``TILE_ROWS`` different fingerprints is cut into salted
-tiles whose pairs are spread over tasks.  Only a spanning forest of each tile
-pair is emitted, never all pairs.
+group of more than ``TILE_ROWS`` different fingerprints is cut into tiles that
+are spread over tasks (see ``tiles``).  Only a spanning forest of what is
+compared is emitted, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, as_bytes, map_batches, materialize
 from .components import connected_components
+from .tiles import forest, link_large
 
 TILE_ROWS = 4096
 BLOCK = 1024
@@ -82,20 +83,8 @@ def _hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             return
 
 
-def forest(ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of every id to the least id of its class: stars whose centres come first, so that no node has many smaller neighbours."""
-    least = ids.copy()
-    np.minimum.at(least, labels, ids)
-    least = least[labels]
-    rest = ids != least
-    return ids[rest], least[rest]
-
-
-def tile_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (signed) of a spanning forest of the fingerprints within the radius of one another."""
-    if len(fps) == 2:
-        near = int(fps[0] ^ fps[1]).bit_count() <= radius
-        return forest(fps.view(np.int64), np.zeros(2, int) if near else np.arange(2))
+def near_classes(fps: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint the number of one that chains of differences within the radius join it to, the same for all of them."""
     weight = np.bitwise_count(fps).astype(np.int16)
     order = np.argsort(weight, kind="stable")
     fps, weight = fps[order], weight[order]
@@ -110,18 +99,28 @@ def tile_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             a, b = a + i, b + j
             if len(keep := np.flatnonzero(labels[a] != labels[b])):
                 _hook(labels, a[keep], b[keep])
-    return forest(fps.view(np.int64), labels)
+    out = np.empty(len(fps), np.int64)
+    out[order] = order[labels]
+    return out
+
+
+def tile_forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (signed) of a spanning forest of the fingerprints within the radius of one another."""
+    if len(fps) == 2:
+        near = int(fps[0] ^ fps[1]).bit_count() <= radius
+        return forest(fps.view(np.int64), np.zeros(2, int) if near else np.arange(2))
+    return forest(fps.view(np.int64), near_classes(fps, radius))
 
 
 def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (k, i, j, fp) sorted by the first three: the forest of every run of equal (k, i, j)."""
+    """Rows (k, fp) sorted by the first: the forest of every run of equal k."""
     held: tuple[np.ndarray, np.ndarray] | None = None
 
     def edges(key: np.ndarray, fps: np.ndarray, last: bool):
         nonlocal held
         if held is not None:
             key, fps = np.concatenate([held[0], key]), np.concatenate([held[1], fps])
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.empty(0, int)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
         ends = np.r_[starts[1:], len(key)]
         if not last and len(starts):
             held = key[starts[-1] :], fps[starts[-1] :]
@@ -136,11 +135,10 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], ["u", "v"])
 
     for batch in batches:
-        k, i, j, fp = (np.array(batch.column(c)) for c in range(4))
-        yield from edges(np.stack([k, i.astype(np.int64), j.astype(np.int64)], axis=1), fp.view(np.uint64), False)
+        k, fp = (np.array(batch.column(c)) for c in range(2))
+        yield from edges(k, fp.view(np.uint64), False)
     if held is not None:
-        none = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
-        yield from edges(*none, True)
+        yield from edges(np.empty(0, np.int64), np.empty(0, np.uint64), True)
 
 
 def links(distinct: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -149,14 +147,15 @@ def links(distinct: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataF
     edge = [64 * i // n for i in range(n + 1)]
     masks = [((1 << edge[a + 1]) - (1 << edge[a])) | ((1 << edge[b + 1]) - (1 << edge[b])) for a, b in combinations(range(n), 2)]
     keys = [F.xxhash64(F.lit(c), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for c, m in enumerate(masks)]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("k"))
-    hot = rows.groupBy("k").count().where(F.col("count") > tile_rows).select(F.col("k").alias("hk"), F.ceil(F.col("count") / tile_rows).cast("int").alias("t"))
-    rows = rows.join(hot, F.col("k") == F.col("hk"), "left").withColumn("t", F.coalesce("t", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp", F.lit(5)), F.col("t")).cast("int")
-    rows = rows.withColumn("o", mine).select("k", "o", "fp", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("p"))
-    rows = rows.select("k", F.least("o", "p").alias("i"), F.greatest("o", "p").alias("j"), "fp")
-    dealt = rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return arrow_map(dealt, lambda it: _compare(it, radius), "u long, v long")
+    rows = distinct.select(F.explode(F.array(*keys)).alias("g"), F.col("fp").alias("id"))
+    sizes = rows.groupBy(F.col("g").alias("hg")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where(F.col("n") > tile_rows)
+    sizes = materialize(sizes.select("hg", F.ceil(F.col("n") / tile_rows).cast("int").alias("t"), "hub"), "simhash-hot")
+    hot = bool(sizes.head(1))
+    plain = rows.join(sizes.select("hg"), F.col("g") == F.col("hg"), "left_anti") if hot else rows
+    found = arrow_map(plain.repartition("g").sortWithinPartitions("g"), lambda it: _compare(it, radius), "u long, v long")
+    if not hot:
+        return found
+    return found.unionByName(link_large(rows, sizes, lambda c: near_classes(c["id"].view(np.uint64), radius), tile_rows, "simhash-hot"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, tile_rows: int = TILE_ROWS) -> DataFrame:
