@@ -704,7 +704,7 @@ def test_mined_rules_against_a_search(spark):
     rng = np.random.default_rng(9)
     hosts = ["cheap-pills.biz", "news.org", "casino.biz", "blog.net"]
     rows = [(f"http://{h}/{p}/{i}.html", bool("biz" in h and p == "win" or rng.random() < 0.1)) for i, (h, p) in enumerate((rng.choice(hosts), rng.choice(["win", "en"])) for _ in range(400))]
-    mined = urls.mine(spark.createDataFrame(rows + [(None, True), ("http://x/", None)], "url string, blocked boolean"), 0.02, 10, 0.8, 1.0)
+    mined = urls.mine(spark.createDataFrame(rows + [(None, True), ("http://x/", None)], "url string, blocked boolean"), 0.02, 10, 0.8, 1.0, 0.0)
     tokens = {r["url"]: frozenset(r["t"]) for r in spark.createDataFrame(rows, "url string, blocked boolean").select("url", urls.tokens(F.col("url")).alias("t")).collect()}
     for rule in mined.collect():
         hit = [b for u, b in rows if set(rule["tokens"]) <= tokens[u]]
@@ -741,7 +741,7 @@ def test_urls_odd_rows(spark):
 def test_mined_rules_fire_on_the_tables(spark, tables):
     from trailgrid.llm import queries
 
-    found = queries.op10_url_filter(spark, tables.replace("sf0.001", "sf0.01"))
+    found = queries.op10_url_filter(spark, tables.replace("sf0.001", "sf0.1"))
     assert found.where("rule is null and verdict = 'block' and confidence is not null").count() > 0
 
 

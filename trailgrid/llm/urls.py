@@ -3,8 +3,8 @@
 URL tokens (host labels and their parts, path words, extensions, query keys)
 and a label make up a transaction.  Spark's FP-growth finds the token sets
 that imply the label; rules are pruned by support, by confidence, by lift
-(confidence against the label's share of all rows) and by a more general rule
-of no less confidence.  A rule is indexed under its rarest token
+(confidence against the label's share of all rows), by how far chance could
+lift them, and by a more general rule of no less confidence.  A rule is indexed under its rarest token
 only; a URL meets the rules of its tokens in one equi-join, where the rest of
 each rule is tested.
 """
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Least share and number of rows of a token set, least confidence, least lift of a rule.
-SUPPORT, LEAST, CONFIDENCE, LIFT = 0.01, 10, 0.0, 1.1
+#: Least share and number of rows of a token set, least confidence, lift, and standard deviations above the label's share of a rule.
+SUPPORT, LEAST, CONFIDENCE, LIFT, DEVIATIONS = 0.01, 10, 0.0, 1.1, 2.0
 #: Groups of tokens among which FP-growth deals its trees.
 GROUPS = 32
 #: Rules that may be broadcast; more are joined by a shuffle.
@@ -45,14 +45,15 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, parts, words, keys), lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, lift: float = LIFT, url_col: str = "url", label_col: str = "blocked") -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, lift: float = LIFT, deviations: float = DEVIATIONS, url_col: str = "url", label_col: str = "blocked") -> DataFrame:
     """``rule, tokens, rarest, confidence``: the pruned rules that imply the label.
 
     ``labelled`` has a url and a boolean each row; rows without either are
     left out, repeated rows count as often as they occur, a very long url is
     cut into tokens like any other.  A rule needs ``support`` of all rows and
     ``least`` of them with the label, ``confidence``, and ``lift`` times the
-    label's share of all rows.  Without rows, or without labels, there is no rule.
+    label's share of all rows; its confidence must lie ``deviations`` standard
+    errors of its rows above that share.  Without rows, or without labels, there is no rule.
     """
     spark = labelled.sparkSession
     rows = labelled.select(tokens(F.col(f"`{url_col}`")).alias("t"), F.col(f"`{label_col}`").alias("y")).where("y is not null and size(t) > 0")
@@ -65,7 +66,10 @@ def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, conf
     both = sets.where(F.array_contains("items", MARK) & (F.size("items") > 1)).select(F.array_sort(F.array_except("items", F.array(F.lit(MARK)))).alias("tokens"), F.col("freq").alias("hits"))
     alone = sets.where(~F.array_contains("items", MARK)).select(F.array_sort("items").alias("key"), "freq")
     single = alone.where(F.size("key") == 1).select(F.col("key")[0].alias("token"), F.col("freq").alias("n"))
-    rules = both.join(alone, F.col("tokens") == F.col("key")).where(F.col("hits") >= F.lit(max(confidence, lift * got["y"] / got["n"])) * F.col("freq"))
+    base = got["y"] / got["n"]
+    chance = deviations * (base * (1 - base)) ** 0.5
+    rules = both.join(alone, F.col("tokens") == F.col("key")).where(F.col("hits") >= F.lit(max(confidence, lift * base)) * F.col("freq"))
+    rules = rules.where(F.col("hits") >= F.lit(base) * F.col("freq") + F.lit(chance) * F.sqrt("freq"))
     rules = rules.select(F.xxhash64(F.array_join("tokens", " ")).alias("rule"), "tokens", (F.col("hits") / F.col("freq")).alias("confidence"))
     # a rule goes if a subset of its tokens is a rule of no less confidence; both hold the subset's first token
     one = rules.select("rule", "tokens", "confidence", F.explode("tokens").alias("token"))
