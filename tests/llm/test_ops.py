@@ -274,6 +274,20 @@ def test_wide_large_families_are_cut(spark, monkeypatch):
     assert found[0] == found[1] == sorted((ids[i], groups[want[i]]) for i in range(len(texts))) and len(groups) < len(texts)
 
 
+def test_links_stay_in_their_class():
+    """Sets of different sizes in any order: every link joins two similar sets, and all similar sets are joined."""
+    rng = np.random.default_rng(15)
+    for _ in range(50):
+        bases = [rng.integers(0, 1 << 62, rng.integers(5, 60)).astype(np.uint64) for _ in range(6)]
+        sets = [np.unique(np.r_[b, rng.integers(0, 1 << 62, rng.integers(0, 1 + len(b) // 10)).astype(np.uint64)]) for b in bases for _ in range(rng.integers(1, 4))]
+        sets = [sets[i] for i in rng.permutation(len(sets))]
+        ids = rng.permutation(1000)[: len(sets)].astype(np.int64)
+        root = brute_components(len(sets), lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])))
+        least = {r: min(ids[i] for i in range(len(sets)) if root[i] == r) for r in root}
+        u, v = simhash_wide.forest(ids, simhash_wide.similar(sets, 0.8))
+        assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == sorted((int(ids[i]), int(least[root[i]])) for i in range(len(sets)) if ids[i] != least[root[i]])
+
+
 def test_wide_links_of_a_repeated_line(spark):
     """Texts whose shingles are mostly one line, over and over, and which share nothing else, stay apart."""
     line = "one line that stands on every page of the site "

@@ -24,8 +24,8 @@ BROADCAST_GROUPS = 200_000
 
 
 def forest(ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of every id to the least id of its class: stars whose centres come first, so that no node has many smaller neighbours."""
-    least = ids.copy()
+    """Links of every id to the least id of its class (numbers below that of the ids): stars whose centres come first, so that no node has many smaller neighbours."""
+    least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, labels, ids)
     least = least[labels]
     rest = ids != least
