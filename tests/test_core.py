@@ -329,6 +329,16 @@ def test_models_against_plain_loops(spark):
     assert model_config("BBMM", 13).bm_var == 1000 and model_config("BBMM", 12).bm_var is None
 
 
+@pytest.mark.parametrize("surface", [ud.kernel_sql])
+def test_fixes_meet_boxes_before_cells(spark, surface):
+    """Cells, many more than their boxes' estimated size, are no side of a join."""
+    rows = fixes(spark, [(i, 900 * i, 50 * i * i) for i in range(8)]).withColumn("seq_id", F.lit("s"))
+    got = surface(rows, ud.make_grid(rows, 500))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("explode(sequence(r0") < plan.index("Join ")
+    assert got.count() > 100 and got.where("density is null or density < 0").count() == 0
+
+
 def test_variance_minimum_beats_a_search():
     rng = np.random.default_rng(2)
     xy = np.cumsum(rng.normal(size=(200, 2)) * math.sqrt(60 * 500), 0)

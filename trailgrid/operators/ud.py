@@ -358,14 +358,18 @@ def _centre(grid: Grid) -> tuple[Column, Column]:
 
 
 def kernel_sql(seq: DataFrame, grid: Grid, smooth: float | None = None, mult: float = 0.3) -> DataFrame:
-    """The kernel UD as a join of fixes and cells of one sequence; for small grids."""
+    """The kernel UD as a join of fixes and cells of one sequence; for small grids.
+
+    Fixes meet their sequence's box, a row a sequence, and only then its cells: a
+    planner that takes the cells for as small as their boxes would broadcast them.
+    """
     h = F.lit(float(smooth)) if smooth else F.sqrt((F.var_samp("x") + F.var_samp("y")) / 2) * F.pow(F.count(F.lit(1)), F.lit(-1 / 6))
     stats = seq.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), h.alias("h")).where("n >= 5 and h > 0")
-    cells = cells_of(boxes(seq, grid, mult)).join(stats, "seq_id")
+    box = boxes(seq, grid, mult).join(stats, "seq_id")
     gx, gy = _centre(grid)
     d2 = (gx - F.col("x")) * (gx - F.col("x")) + (gy - F.col("y")) * (gy - F.col("y"))
     term = F.exp(-d2 / (2 * F.col("h") * F.col("h"))) / (2 * math.pi * F.col("h") * F.col("h") * F.col("n"))
-    return cells.join(seq.select("seq_id", "x", "y"), "seq_id").groupBy("seq_id", "row", "col").agg(F.sum(term).alias("density"))
+    return cells_of(seq.select("seq_id", "x", "y").join(box, "seq_id")).groupBy("seq_id", "row", "col").agg(F.sum(term).alias("density"))
 
 
 def bridge_steps(seq: DataFrame, bm_var: float, error: float = 20, max_lag_hours: float = 8, step: float = 5) -> DataFrame:
