@@ -329,7 +329,7 @@ def test_models_against_plain_loops(spark):
     assert model_config("BBMM", 13).bm_var == 1000 and model_config("BBMM", 12).bm_var is None
 
 
-@pytest.mark.parametrize("surface", [ud.kernel_sql])
+@pytest.mark.parametrize("surface", [ud.kernel_sql, lambda rows, grid: ud.bridge_sql(rows, grid, 1000)])
 def test_fixes_meet_boxes_before_cells(spark, surface):
     """Cells, many more than their boxes' estimated size, are no side of a join."""
     rows = fixes(spark, [(i, 900 * i, 50 * i * i) for i in range(8)]).withColumn("seq_id", F.lit("s"))

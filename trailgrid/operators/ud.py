@@ -383,10 +383,14 @@ def bridge_steps(seq: DataFrame, bm_var: float, error: float = 20, max_lag_hours
 
 
 def bridge_sql(seq: DataFrame, grid: Grid, bm_var: float, error: float = 20, max_lag_hours: float = 8, step: float = 5, mult: float = 0.3) -> DataFrame:
-    """The Brownian bridge UD, normal to 1, as a join of steps and cells of one sequence; for small grids."""
+    """The Brownian bridge UD, normal to 1, as a join of steps and cells of one sequence; for small grids.
+
+    Steps meet boxes before cells, as in ``kernel_sql``.
+    """
     gx, gy = _centre(grid)
     d2 = (gx - F.col("mx")) * (gx - F.col("mx")) + (gy - F.col("my")) * (gy - F.col("my"))
-    raw = cells_of(boxes(seq, grid, mult)).join(bridge_steps(seq, bm_var, error, max_lag_hours, step), "seq_id").groupBy("seq_id", "row", "col").agg(F.sum(F.exp(-d2 / (2 * F.col("var"))) / (2 * math.pi * F.col("var"))).alias("density"))
+    steps = bridge_steps(seq, bm_var, error, max_lag_hours, step)
+    raw = cells_of(steps.join(boxes(seq, grid, mult), "seq_id")).groupBy("seq_id", "row", "col").agg(F.sum(F.exp(-d2 / (2 * F.col("var"))) / (2 * math.pi * F.col("var"))).alias("density"))
     return raw.withColumn("density", F.col("density") / F.sum("density").over(Window.partitionBy("seq_id")))
 
 
