@@ -241,6 +241,16 @@ def test_running_mass_with_equal_values(spark):
     assert [r["cum"] for r in got] == np.cumsum([r["v"] for r in got]).tolist()
 
 
+def test_running_mass_of_sums_that_vary(spark):
+    """Each evaluation of the surface gives other last digits, as sums over shuffled rows do; no cell is lost."""
+    import random
+
+    noisy = F.udf(lambda v: v * (1 + 1e-12 * random.random()), "double").asNondeterministic()
+    cells = spark.createDataFrame([(i // 20, i % 20, 1.0 + i % 7) for i in range(400)], "row int, col int, v double")
+    got = population.running_mass(cells.withColumn("v", noisy("v")), "v").collect()
+    assert len(got) == 400 and max(r["cum"] for r in got) == pytest.approx(sum(r["v"] for r in got))
+
+
 def test_diameter_equals_all_pairs():
     rng = np.random.default_rng(4)
     for n in (1, 2, 15, 17, 400):
