@@ -289,6 +289,29 @@ def test_circular_dates_do_not_meet_in_summer(spark):
     assert df.agg(temporal.month_day(temporal.circular_median_day(F.col("t")))).first()[0] == "01/04"
 
 
+def test_circular_dates_of_many_trips(spark):
+    """Dates of a season are counted by day, as a plain search finds them, and cost no more than their number."""
+    import time
+
+    rng = np.random.default_rng(9)
+    days = {"a": rng.choice([3, 3, 360, 361, 200], 7), "b": np.array([59]), "c": np.array([10, 10, 192, 192]), "d": (rng.normal(355, 20, 60_000).astype(int)) % 365}
+    day = F.date_add(F.lit(dt.date(2023, 1, 1)), F.col("v")).cast("timestamp_ntz")
+    rows = spark.createDataFrame([(k, int(v)) for k, x in days.items() for v in x], "season string, v int")
+    trips = rows.select("season", F.lit(2023).alias("bio_year"), day.alias("start_date"), F.lit(T0).cast("timestamp_ntz").alias("end_date"))
+    began = time.time()
+    got = {r["season"]: r for r in report.circular_dates(trips, ["season"]).collect()}
+    long = {(r["season"], r["metric"]): r["value"] for r in report.sequences_summary(trips).where("year = 'All_Years'").collect()}
+    assert time.time() - began < 60
+    for k, x in days.items():
+        x, n = np.sort(x), len(x)
+        seam = int(np.argmax(np.diff(np.r_[x, x[0] + 365])))
+        name = lambda v: (dt.date(2023, 1, 1) + dt.timedelta(days=int(v))).strftime("%m/%d")
+        median = name(x[(seam + 1 + n // 2) % n])
+        assert got[k]["median_start"] == long[k, "median_start"] == median and got[k]["median_end"] == "01/01"
+        assert long[k, "n"] == str(n) and (long[k, "earliest_start"], long[k, "latest_start"]) == (name(x[0]), name(x[-1]))
+    assert got["a"]["mean_start"] == long["a", "average_start"]
+
+
 def test_tail_cut_and_footprint(spark):
     u = spark.createDataFrame([("s", 0, i, d) for i, d in enumerate([0.5, 0.3, 0.1, 0.1])], "seq_id string, row int, col int, density double")
     assert {r["col"] for r in ud.footprint(u, 79).collect()} == {0, 1}

@@ -41,10 +41,23 @@ def annual_collars(fixes: DataFrame) -> DataFrame:
     return fixes.groupBy("bio_year").agg(F.countDistinct("animal_id").alias("n_collars"))
 
 
+def edge_days(trips: DataFrame, by: list[str]) -> DataFrame:
+    """``by, edge, n, first, last, mean, median`` of starts and ends: number of trips, extreme times, circular mean and median as ``MM/dd``.
+
+    Trips are counted by day of the year first, so a group comes to 366 rows at most.
+    """
+    edges = trips.select(*by, F.inline(F.array(*[F.struct(F.lit(e).alias("edge"), F.col(f"{e}_date").alias("t")) for e in ("start", "end")])))
+    daily = edges.groupBy(*by, "edge", temporal.circle_day(F.col("t")).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    days = F.collect_list(F.when(F.col("day").isNotNull(), F.struct("day", "n")))
+    return daily.groupBy(*by, "edge").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
+        temporal.month_day(temporal.circular_mean_of(F.col("day"), F.col("n"))).alias("mean"), temporal.month_day(temporal.circular_median_of(days)).alias("median"),
+    )
+
+
 def circular_dates(trips: DataFrame, by: list[str]) -> DataFrame:
     """Circular mean and median of start and end as ``MM/dd``."""
-    aggs = [temporal.month_day(f(F.col(c))).alias(f"{n}_{c.removesuffix('_date')}") for c in ("start_date", "end_date") for n, f in (("mean", temporal.circular_mean_day), ("median", temporal.circular_median_day))]
-    return trips.groupBy(*by).agg(*aggs)
+    return edge_days(trips, by).groupBy(*by).agg(*[F.max(F.when(F.col("edge") == e, F.col(n))).alias(f"{n}_{e}") for e in ("start", "end") for n in ("mean", "median")])
 
 
 def distance_summary(trips: DataFrame) -> DataFrame:
@@ -73,11 +86,11 @@ def season_summary(trips: DataFrame) -> DataFrame:
 def sequences_summary(trips: DataFrame) -> DataFrame:
     """Long form ``season, year, metric, value``: number, earliest, latest, circular median and mean of start and end, by year and for ``All_Years``."""
     both = trips.withColumn("year", F.explode(F.array(F.col("bio_year").cast("string"), F.lit("All_Years"))))
-    day = {"earliest": lambda c: F.date_format(F.min(c), "MM/dd"), "latest": lambda c: F.date_format(F.max(c), "MM/dd"), "median": lambda c: temporal.month_day(temporal.circular_median_day(F.col(c))), "average": lambda c: temporal.month_day(temporal.circular_mean_day(F.col(c)))}
-    aggs = [F.count(F.lit(1)).cast("string").alias("n")] + [f(c).alias(f"{n}_{c.removesuffix('_date')}") for c in ("start_date", "end_date") for n, f in day.items()]
-    wide = both.groupBy("season", "year").agg(*aggs)
-    names = [c for c in wide.columns if c not in ("season", "year")]
-    return wide.select("season", "year", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))
+    found = edge_days(both, ["season", "year"])
+    values = {"earliest": F.date_format("first", "MM/dd"), "latest": F.date_format("last", "MM/dd"), "median": F.col("median"), "average": F.col("mean")}
+    rows = F.array(*[F.struct(F.concat_ws("_", F.lit(n), "edge").alias("metric"), v.alias("value")) for n, v in values.items()])
+    number = F.array(F.struct(F.lit("n").alias("metric"), F.col("n").cast("string").alias("value")))
+    return found.select("season", "year", F.inline(F.when(F.col("edge") == "start", F.concat(number, rows)).otherwise(rows)))
 
 
 def sequences_matrix(summary: DataFrame, years: list[str] | None = None) -> DataFrame:
