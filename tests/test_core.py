@@ -497,6 +497,21 @@ def test_report_tables(spark):
     assert report.sequences_matrix(report.sequences_summary(trips)).columns[2:] == ["2024", "All_Years"]
 
 
+def test_herd_row_takes_its_inputs_once(spark):
+    """The herd's row works fixes and trips out once, however many of its figures need them."""
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(df, acc):
+        return df.withColumn("animal_id", F.udf(lambda a: acc.add(1) or a)("animal_id"))
+
+    f = fixes(spark, [(h, h, h) for h in range(10)]).withColumns({"fix_rate_hours": F.lit(1.0), "Sex": F.lit("F")})
+    trips = spark.createDataFrame([("a", s, T0, T0 + dt.timedelta(days=k), float(k), 1.0 * k, 2.0, 3.0) for k, s in enumerate(["Spring", "Spring", "Fall"], 1)], "animal_id string, season string, start_date timestamp_ntz, end_date timestamp_ntz, days double, eucl_km double, cumu_km double, maxpair_km double")
+    row = report.herd_metadata(counted(f, seen[0]), counted(trips, seen[1]), spark.range(1).select(F.lit("D").alias("herd_id"))).first()
+    assert [a.value for a in seen] == [10, 3]
+    assert (row["num_ind"], row["n_female"], row["median_hours"]) == (1, 1, 1.0) and row["seasons"]["Spring"]["n_sequences"] == 2
+    assert row["seasons"]["all"]["mean_days"] == 2.0 and row["seasons"]["Fall"]["median_end"] == "01/04"
+
+
 def test_stream_steps_and_bursts(spark, tmp_path):
     from trailgrid.streaming import fixes as stream
 

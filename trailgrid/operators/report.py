@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import temporal, text
+from ..plans.store import stored
 from .ingest import exact_quantile
 
 METRICS = ("eucl_km", "cumu_km", "maxpair_km")
@@ -99,7 +100,12 @@ def sequences_matrix(summary: DataFrame, years: list[str] | None = None) -> Data
 
 
 def herd_metadata(fixes: DataFrame, trips: DataFrame, herd: DataFrame, sex_column: str = "Sex") -> DataFrame:
-    """One wide row: herd, counts, years, sexes, fix rates, and per season and in all the statistics and mean dates."""
+    """One wide row: herd, counts, years, sexes, fix rates, and per season and in all the statistics and mean dates.
+
+    The columns of fixes and trips that it takes are stored, as it reads them many times.
+    """
+    fixes = stored(fixes.select(*[c for c in dict.fromkeys(("animal_id", "timestamp", "fix_rate_hours", sex_column)) if c in fixes.columns]), "herd-fixes")
+    trips = stored(trips.select("animal_id", "season", "start_date", "end_date", "days", *METRICS), "herd-trips")
     parts = [herd, herd_counts(fixes, trips), fix_rate_stats(fixes)] + ([sex_counts(fixes, sex_column)] if sex_column in fixes.columns else [])
     seasons = season_rollup(trips).join(stats(trips), "season", "left").join(circular_dates(trips.withColumn("season", F.explode(F.array("season", F.lit("all")))), ["season"]), "season", "left")
     packed = seasons.agg(F.map_from_entries(F.collect_list(F.struct("season", F.struct(*[c for c in seasons.columns if c != "season"])))).alias("seasons"))  # a row a season
