@@ -562,6 +562,21 @@ def test_transducer_odd_rows(spark):
     assert by[long[:5]] == sp.encode(long) and by["same"] == sp.encode("same") and by[""] == []
 
 
+def test_sentencepiece_query_gives_the_pieces(spark, tables):
+    import sentencepiece
+    import zlib
+
+    from trailgrid.llm import queries
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, tables, "documents").collect()}
+    rows = queries.op7_sentencepiece(spark, tables).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["pieces"] == sp.encode(texts[r["doc_id"]]) and r["n_pieces"] == len(r["pieces"])
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["pieces"], "<u4").tobytes())
+
+
 # --- 8
 
 

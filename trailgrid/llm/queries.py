@@ -98,7 +98,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wfst.encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), ids=False)
+    """The pieces of every text beside their digest."""
+    return wfst.encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
