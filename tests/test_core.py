@@ -251,6 +251,18 @@ def test_running_mass_of_sums_that_vary(spark):
     assert len(got) == 400 and max(r["cum"] for r in got) == pytest.approx(sum(r["v"] for r in got))
 
 
+def test_use_volume_gives_its_running_sum(spark, tables):
+    """The sum from the most used cell down is part of the query's rows; uses that differ in their last digits are ties."""
+    from trailgrid.plans import queries
+
+    got = queries.population_use_volume(spark, tables).collect()
+    cells = sorted(got, key=lambda r: (-r["density"], r["row"], r["col"]))
+    assert len(cells) > 1 and np.allclose([r["cum"] for r in cells], np.cumsum([r["density"] for r in cells]), atol=1e-6)
+    layers = spark.createDataFrame([("a", i // 4, i % 4, 0.1 * (1 + 1e-15 * (i * 7 % 5))) for i in range(16)] + [("a", 9, 9, 0.4)], "layer string, row int, col int, density double")
+    cum = [r["cum"] for r in population.use_volume(layers).orderBy("row", "col").collect()]
+    assert cum == pytest.approx([0.2 + 0.05 * (i + 1) for i in range(16)] + [0.2])
+
+
 def test_diameter_equals_all_pairs():
     rng = np.random.default_rng(4)
     for n in (1, 2, 15, 17, 400):
