@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trailgrid.llm import components, cws, decontaminate, langid, lm, quality, records, simhash, simhash_wide, substring, urls, wfst
 from trailgrid.llm.queries import URL_RULES, tokenizer
+from trailgrid.plans import store
 
 BPE, PIECES = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, score string, fp string, items string, n_pieces string"
@@ -444,6 +446,21 @@ def test_repeats_against_a_search(spark):
     assert [got[i] for i in range(40)] == brute_repeats(texts) and sum(got.values()) > 10
 
 
+def test_repeats_leave_little_on_disk(spark):
+    """Neither the runs' hashes nor the files of their shuffles are there when the texts are dealt."""
+    passage = " ".join(f"w{i}" for i in range(60)) + ". "
+    files = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(";").split(";"))
+    before, made = files(), set(store._made)
+    got = substring.remove_repeats(docs(spark, [passage, passage + "Own words.", "Others."]))
+    for _ in range(50):  # the executors delete them on their own time
+        if not (left := {f for f in files() - before if "shuffle_" in f}):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert [p.rpartition("/")[2].rpartition("-")[0] for p in store._made if p not in made] == ["spans-taken"]
+    assert [r["n_removed"] > 0 for r in got.orderBy("doc_id").collect()] == [False, True, False]
+
+
 def test_repeats_odd_rows(spark):
     p = "One sentence that has quite a number of words in it. Another one that follows it at once, and is long. The third of them."
     rows = docs(spark, [p, "Other words here. " + p, p.upper(), "Two words.", "Two words.", "long " * 3000 + "."], [None, None, 3, 4, 5, 6]).withColumns({c: F.lit("own") for c in ("_d", "_key", "_taken", "key", "taken", "other", "h")})

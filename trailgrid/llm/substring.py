@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh, map_batches, materialize, typed
+from .common import arrow_map, discard, fresh, map_batches, materialize, typed
 
 UNIT_WORDS, SPAN_WORDS, PAIR_WORDS = 16, 12, 20
 _PIECE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
@@ -137,6 +137,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = materialize(first, "spans-first")  # a stored side: the rows of a very common passage can be split between tasks
     mine, taken = fresh(docs, "key", "taken")
     later = spans.join(first, F.col("h") == F.col("rh")).where("d > d0").groupBy("d").agg(F.collect_set("h").alias(taken))
+    later = materialize(later, "spans-taken")
+    discard(spans, first)  # before the texts are dealt, which take the most disk
     other, = fresh(docs.withColumn(mine, F.lit(0)).withColumn(taken, F.lit(0)), "other")
     both = docs.withColumn(mine, key).join(later.withColumnRenamed("d", other), F.col(mine) == F.col(other), "left").drop(mine, other)
     names = docs.columns
